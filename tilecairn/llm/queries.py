@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tilecairn.llm.bpe import encode_texts
 from tilecairn.llm.exact_dedup import dedup_exact
 from tilecairn.llm.fingerprint import fingerprint_documents
+from tilecairn.llm.html_text import extract_pages
 from tilecairn.llm.jaccard_join import link_documents
 from tilecairn.llm.line_dedup import dedup_lines
 from tilecairn.llm.packing import pack
@@ -40,6 +41,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -60,7 +65,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPACE_CHARS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_fingerprint, op4_substring_dedup, op7_line_dedup, op8_sharding, op9_bpe, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_fingerprint, op4_substring_dedup, op5_html_text, op7_line_dedup, op8_sharding, op9_bpe, op10_jaccard_join)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
