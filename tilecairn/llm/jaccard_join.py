@@ -176,7 +176,7 @@ def link_documents(docs: DataFrame, width: int = 3, percent: int = 90, key: str
     scratch.sweep()
     roster = found.where(F.col("kind") == ROSTER).select("doc", "row", "n", "owner", "other")
     classes = roster.where("n > 0").groupBy("owner", "other").agg(F.min(F.struct("doc", "row")).alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"))
-    bits = found.where(F.col("kind") != ROSTER).groupBy("owner", "other").agg(F.collect_list(F.struct("flush", "part", "bits")).alias("given"))
+    bits = found.where(F.col("kind") != ROSTER).groupBy("owner", "other").agg(F.flatten(F.collect_list("given")).alias("given"))
     named = scratch.cut(classes.join(bits, ["owner", "other"], "left").select("owner", "other", F.col("rep.doc").alias("doc"), F.col("rep.row").alias("row"), F.monotonically_increasing_id().alias("rep"), "n", "copies", "given"))
     open_ = named.where("given is not null").select("doc", "row", "rep", "given")
     sets = rows.join(open_, ["doc", "row"]).select("rep", "text", "given").mapInArrow(partial(_sets, width=width, buckets=buckets, percent=percent), SETS)

@@ -2,9 +2,10 @@
 
 A task hashes its documents and gathers postings for a while; of the postings of one hash in that
 flush only one is sent, so a hash that very many documents share is one posting a flush. Postings go,
-packed, to the bucket that a second, independent hash names; the bucket answers with a bit a posting,
-and only documents with a bit that is set get a row. A document's bits stand in the order of its
-sorted distinct hashes, so positions need not travel.
+packed, to the bucket that a second, independent hash names; the bucket answers each flush with a bit a
+posting, and the answers of a flush, brought together, give a row for each of its documents with a bit
+that is set. A document's bits stand in the order of its sorted distinct hashes, so positions need not
+travel.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ FLUSH, BUCKET_BYTES, AT_ONCE = 1_500_000, 24 << 20, 2 << 20
 POST, LOCAL, ROSTER = 0, 1, 2
 
 POSTS = "kind int, bucket int, flush long, doc array<long>, row array<long>, owner array<long>, other array<long>, n array<long>, data binary"
-ANSWERS = "kind int, flush long, doc long, row long, n long, owner long, other long, part int, bits binary"
+ANSWERS = "kind int, doc long, row long, owner long, other long, n long, given array<struct<flush:long,part:int,bits:binary>>"
 _LISTS = ("doc", "row", "owner", "other", "n")
 _POSTS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("flush", pa.int64()), *((x, pa.list_(pa.int64())) for x in _LISTS), ("data", pa.binary())])
-_ANSWERS = pa.schema([("kind", pa.int32()), ("flush", pa.int64()), *((x, pa.int64()) for x in ("doc", "row", "n", "owner", "other")), ("part", pa.int32()), ("bits", pa.binary())])
+_GIVEN = pa.list_(pa.struct([("flush", pa.int64()), ("part", pa.int32()), ("bits", pa.binary())]))
+_ANSWERS = pa.schema([("kind", pa.int32()), *((x, pa.int64()) for x in _LISTS), ("given", _GIVEN)])
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -91,7 +93,7 @@ def _post(batches, hasher: Hasher, buckets: int, by_class: bool):
         name = task | flushes
         flushes += 1
         if roster:
-            yield _row(ROSTER, (name * 2654435761) % buckets, name, list(zip(*roster, strict=True)), b"")
+            yield _row(ROSTER, name % buckets, name, list(zip(*roster, strict=True)), b"")
         if held:
             yield from _flushed(held, name, buckets, by_class)
         held.clear()
@@ -141,9 +143,10 @@ def _flushed(held: list[tuple], name: int, buckets: int, by_class: bool):
     else:
         local[order] = group > np.repeat(least, spans)
     firsts = np.cumsum(sizes) - sizes
-    for i in np.unique(at[local]).tolist():
-        a, x = int(firsts[i]), held[i]
-        yield _row(LOCAL, (name * 2654435761) % buckets, name, [[v] for v in (x[0], x[1], x[2], x[3], len(x[4]))], np.packbits(local[a : a + len(x[4])]).tobytes())
+    if some := np.unique(at[local]).tolist():
+        chosen = [held[i] for i in some]
+        bits = b"".join(np.packbits(local[firsts[i] : firsts[i] + sizes[i]]).tobytes() for i in some)
+        yield _row(LOCAL, name % buckets, name, [[x[k] for x in chosen] for k in range(4)] + [[len(x[4]) for x in chosen]], bits)
     asked = np.flatnonzero(~local)
     keys = [np.array([x[k] for x in held], np.int64) for k in range(4)]
     at = np.concatenate([at[asked], np.full(len(marks), -1)])
@@ -162,49 +165,61 @@ def _flushed(held: list[tuple], name: int, buckets: int, by_class: bool):
 
 
 def _answer(batches, by_class: bool):
-    """The answers of the buckets in this partition; what needs none passes through."""
+    """The answers of the buckets in this partition: their posts with bits for hashes, where any is set.
+    What needs no answer passes through."""
     buckets: dict[int, list] = {}
     for batch in batches:
         for x in batch.to_pylist():
             if x["kind"] == POST:
                 buckets.setdefault(x["bucket"], []).append(x)
             else:
-                rows = [(x["kind"], x["flush"], d, r, n, o, p, -1, x["data"]) for d, r, o, p, n in zip(*(x[k] for k in _LISTS), strict=True)]
-                yield _answers(rows)
+                yield _row(x["kind"], x["bucket"], x["flush"], [x[k] for k in _LISTS], x["data"])
     for bucket, posts in buckets.items():
         h = np.frombuffer(b"".join(x["data"] for x in posts), np.uint64)
-        n = np.concatenate([np.array(x["n"], np.int64) for x in posts])
-        owner = np.repeat(np.concatenate([np.array(x["owner"], np.int64) for x in posts]), n)
+        counts = [np.array(x["n"], np.int64) for x in posts]
+        owner = np.repeat(np.concatenate([np.array(x["owner"], np.int64) for x in posts]), np.concatenate(counts))
         order = np.argsort(h, kind="stable")
         starts = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
         group = owner[order]
         least, spans = np.minimum.reduceat(group, starts), np.diff(starts, append=len(h))
         bit = np.empty(len(h), bool)
         bit[order] = np.repeat(least != np.maximum.reduceat(group, starts), spans) if by_class else group > np.repeat(least, spans)
-        edges = np.concatenate([[0], np.cumsum(n)])
-        some = np.add.reduceat(bit, edges[:-1]) > 0
-        i, rows = 0, []
-        for x in posts:
-            for j in range(len(x["n"])):
-                if some[i] and not (by_class and x["owner"][j] == 0 and x["row"][j] == 0):
-                    rows.append((POST, x["flush"], x["doc"][j], x["row"][j], x["n"][j], x["owner"][j], x["other"][j], bucket, np.packbits(bit[edges[i] : edges[i + 1]]).tobytes()))
-                i += 1
-            if len(rows) >= 20_000:
-                yield _answers(rows)
-                rows = []
-        if rows:
-            yield _answers(rows)
-
-
-def _answers(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ANSWERS, strict=True)], schema=_ANSWERS)
+        at = 0
+        for x, n in zip(posts, counts, strict=True):
+            edges = at + np.concatenate([[0], np.cumsum(n)])
+            at = int(edges[-1])
+            hit = np.flatnonzero(np.add.reduceat(bit[edges[0] : at], edges[:-1] - edges[0]) > 0)
+            hit = [i for i in hit.tolist() if not (by_class and x["owner"][i] == 0 and x["row"][i] == 0)]
+            if hit:
+                bits = b"".join(np.packbits(bit[edges[i] : edges[i + 1]]).tobytes() for i in hit)
+                yield _row(POST, bucket, x["flush"], [[x[k][i] for i in hit] for k in _LISTS], bits)
+
+
+def _assemble(table: pa.Table) -> pa.Table:
+    """The answers of one flush as a row for each document that has one, and its roster."""
+    given: dict[tuple, list] = {}
+    rows = []
+    for x in table.to_pylist():
+        if x["kind"] == ROSTER:
+            rows += [(ROSTER, *y, None) for y in zip(*(x[k] for k in _LISTS), strict=True)]
+            continue
+        at = 0
+        part = -1 if x["kind"] == LOCAL else x["bucket"]
+        for doc, row, owner, other, n in zip(*(x[k] for k in _LISTS), strict=True):
+            size = -(-n // 8)
+            given.setdefault((doc, row, owner, other), []).append({"flush": x["flush"], "part": part, "bits": x["data"][at : at + size]})
+            at += size
+    rows += [(POST, *who, 0, found) for who, found in given.items()]
+    columns = list(zip(*rows, strict=True)) or [[] for _ in _ANSWERS]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ANSWERS, strict=True)], schema=_ANSWERS)
 
 
 def answers(rows: DataFrame, hasher: Hasher, buckets: int, by_class: bool = False) -> DataFrame:
     """Rows of ANSWERS for keyed() rows: bits of documents whose hash a smaller document also holds, or by
     class, of those that another set holds too; then also a ROSTER row for each document."""
     posts = rows.mapInArrow(partial(_post, hasher=hasher, buckets=buckets, by_class=by_class), POSTS)
-    return posts.repartitionById(buckets, F.col("bucket")).mapInArrow(partial(_answer, by_class=by_class), ANSWERS)
+    found = posts.repartitionById(buckets, F.col("bucket")).mapInArrow(partial(_answer, by_class=by_class), POSTS)
+    return found.groupBy("flush").applyInArrow(_assemble, ANSWERS)
 
 
 def joined_bits(n: int, bucket: np.ndarray, given: list[dict]) -> np.ndarray:

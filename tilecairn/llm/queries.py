@@ -15,6 +15,7 @@ from tilecairn.llm.line_dedup import dedup_lines
 from tilecairn.llm.packing import pack
 from tilecairn.llm.sharding import shard_rows
 from tilecairn.llm.substring_dedup import dedup_passages
+from tilecairn.llm.toxicity import detect_toxic
 
 #: Shards of the sharding query.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -62,10 +63,15 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = detect_toxic(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 SPACE_CHARS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_fingerprint, op4_substring_dedup, op5_html_text, op7_line_dedup, op8_sharding, op9_bpe, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_fingerprint, op4_substring_dedup, op5_html_text, op6_toxicity, op7_line_dedup, op8_sharding, op9_bpe, op10_jaccard_join)}
 
 ORACLES = {
     "op1_exact_dedup": r"""

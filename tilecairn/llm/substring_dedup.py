@@ -69,9 +69,9 @@ def dedup_passages(docs: DataFrame, width: int = 13, key: str = "doc_id", text:
     scratch = Scratch(docs.sparkSession)
     rows = keyed(docs, key, text)
     buckets = bucket_count(rows)
-    found = scratch.cut(answers(rows, Hasher(width), buckets).select("doc", "row", "flush", "part", "bits"))
+    found = scratch.cut(answers(rows, Hasher(width), buckets).select("doc", "row", "given"))
     scratch.sweep()
-    given = found.groupBy("doc", "row").agg(F.collect_list(F.struct("flush", "part", "bits")).alias("given"))
+    given = found.groupBy("doc", "row").agg(F.flatten(F.collect_list("given")).alias("given"))
     out = rows.join(given, ["doc", "row"], "left").select("doc", "row", "text", "given").mapInArrow(partial(_cut, width=width, buckets=buckets), RESULT)
     null = F.col("doc") == (1 << 63) - 1
     return out.select(F.when(~null, F.col("doc")).cast(docs.schema[key].dataType).alias(key), "row", "n_words", "n_removed", "spans", "kept_text")
