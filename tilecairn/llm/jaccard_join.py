@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilecairn.llm.common import Scratch, small_batches
+from tilecairn.llm.common import Scratch, shuffle_partitions, small_batches
 from tilecairn.llm.components import connect
 from tilecairn.llm.postings import AT_ONCE, ROSTER, Hasher, answers, bucket_count, joined_bits, keyed
 from tilecairn.llm.rolling import mixed
@@ -33,6 +33,10 @@ class Similarity:
         """The largest symmetric difference of two linked sets whose sizes have this sum."""
         return (100 - self.percent) * total // (100 + self.percent)
 
+    def most_of(self, n: F.Column) -> F.Column:
+        """The largest symmetric difference of a set of n and a set it is linked with."""
+        return F.floor((100 - self.percent) * (n + F.floor(100 * n / self.percent)) / (100 + self.percent))
+
     def largest(self, n: int) -> int:
         """The largest set that a set of n can be linked with."""
         return 100 * n // self.percent
@@ -116,27 +120,62 @@ def _sets(batches, width: int, buckets: int, percent: int):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["rep", "n", "unique", "tokens", "sketch", "keys", "partial"])
 
 
-def _across(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs of two blocks of a bucket, of different components, that sizes, unique tokens and sketches
-    leave; for each two components the pair with the closest sketches comes first."""
-    x = {c: table.column(c).to_numpy() for c in ("rep", "component", "n", "unique", "side", "partial")}
-    bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH)
+_PLACED = ("key", "i", "j", "side", "rep", "partial", "component", "n", "unique", "sketch")
+
+
+def _pairs_of(x: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of two blocks of a bucket, of different components, that sizes, unique tokens and sketches leave."""
     left, right = np.flatnonzero(x["side"] != 1), np.flatnonzero(x["side"] != 0)
-    same = bool((x["side"] == 2).any())
-    out = []
-    for i in left.tolist():
-        j = right[right > i] if same else right
-        total = x["n"][i] + x["n"][j]
-        most = (100 - percent) * total // (100 + percent)
-        j = j[(x["component"][j] != x["component"][i]) & (x["unique"][i] + x["unique"][j] <= most) & (np.abs(x["n"][i] - x["n"][j]) <= most) & ~(x["partial"][i] & x["partial"][j])]
-        if not len(j):
-            continue
-        apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
-        total = x["n"][i] + x["n"][j]
-        j = j[apart <= (100 - percent) * total // (100 + percent)]
-        out += [(x["rep"][i], x["rep"][k]) for k in j.tolist()]
-    a = np.array(out, np.int64).reshape(-1, 2)
-    return pa.table({"a": a.min(axis=1), "b": a.max(axis=1)})
+    n, unique, component, less, reps = x["n"], x["unique"], x["component"], x["partial"], x["rep"]
+    a, b = [], []
+    for at in range(0, len(left), 64):
+        i = left[at : at + 64, None]
+        j = right[None, :]
+        most = (100 - percent) * (n[i] + n[j]) // (100 + percent)
+        fits = (component[i] != component[j]) & (unique[i] + unique[j] <= most) & (np.abs(n[i] - n[j]) <= most) & ~(less[i] & less[j]) & ((reps[i] < reps[j]) | (x["side"][i] != 2))
+        i, j = np.nonzero(fits)
+        if len(i):
+            most = most[i, j]
+            i, j = left[at : at + 64][i], right[j]
+            close = np.bitwise_count(x["sketch"][i] ^ x["sketch"][j]).sum(axis=1) <= most
+            a.append(reps[i[close]])
+            b.append(reps[j[close]])
+    if not a:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b = np.concatenate(a), np.concatenate(b)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _across(batches, percent: int):
+    """Pairs (a, b) of the blocks in a partition whose rows are sorted by (key, i, j)."""
+    held = None
+
+    def groups(x: dict[str, np.ndarray], last: bool):
+        nonlocal held
+        if held is not None:
+            x = {c: np.concatenate([held[c], x[c]]) for c in x}
+        turns = np.flatnonzero((np.diff(x["key"]) != 0) | (np.diff(x["i"]) != 0) | (np.diff(x["j"]) != 0)) + 1
+        edges = [0, *turns.tolist()] + [len(x["key"])] * last
+        held = None if last else {c: v[edges[-1] :] for c, v in x.items()}
+        for p, q in zip(edges[:-1], edges[1:], strict=True):
+            if q - p > 1:
+                yield _pairs_of({c: v[p:q] for c, v in x.items()}, percent)
+
+    def rows(found: list):
+        a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    empty = {c: np.empty(0, np.int64) for c in _PLACED} | {"partial": np.empty(0, bool), "sketch": np.empty((0, SKETCH), np.uint64)}
+    for last in (False, True):
+        for batch in batches if not last else [None]:
+            x = empty
+            if batch is not None:
+                x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _PLACED if c != "sketch"}
+                x["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH)
+            elif held is None:
+                continue
+            if found := [p for p in groups(x, last) if len(p[0])]:
+                yield rows(found)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -162,23 +201,23 @@ def link_documents(docs: DataFrame, width: int = 3, percent: int = 90, key: str
     3. In each bucket of a key all are compared with its smallest member; components follow.
     4. Where a bucket still holds several components, its members meet in blocks, within a task, and the
        pairs of different components that pass exact bounds (sizes, unique shingles, parity sketches) are
-       compared by whole sets; one round takes the closest pair of each two components first.
+       compared by whole sets.
 
     A null or empty text has no set and its own key as component. A null key is the largest and comes
     back as null. Repeated rows come back as often. An empty table gives an empty table; further columns
     are not read.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    like, scratch = Similarity(percent), Scratch(docs.sparkSession)
     rows = keyed(docs, key, text)
     buckets = bucket_count(rows)
     found = scratch.cut(answers(rows, Hasher(width, fold=True), buckets, by_class=True))
     scratch.sweep()
     roster = found.where(F.col("kind") == ROSTER).select("doc", "row", "n", "owner", "other")
     classes = roster.where("n > 0").groupBy("owner", "other").agg(F.min(F.struct("doc", "row")).alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"))
-    bits = found.where(F.col("kind") != ROSTER).groupBy("owner", "other").agg(F.flatten(F.collect_list("given")).alias("given"))
-    named = scratch.cut(classes.join(bits, ["owner", "other"], "left").select("owner", "other", F.col("rep.doc").alias("doc"), F.col("rep.row").alias("row"), F.monotonically_increasing_id().alias("rep"), "n", "copies", "given"))
-    open_ = named.where("given is not null").select("doc", "row", "rep", "given")
+    bits = found.where(F.col("kind") != ROSTER).groupBy("owner", "other").agg(F.max("n").alias("shared"), F.flatten(F.collect_list("given")).alias("given"))
+    named = scratch.cut(classes.join(bits, ["owner", "other"], "left").select("owner", "other", F.col("rep.doc").alias("doc"), F.col("rep.row").alias("row"), F.monotonically_increasing_id().alias("rep"), "n", "copies", "given", "shared"))
+    widest = like.most_of(F.col("n"))
+    open_ = named.where(F.col("n") - F.col("shared") <= widest).select("doc", "row", "rep", "given")
     sets = rows.join(open_, ["doc", "row"]).select("rep", "text", "given").mapInArrow(partial(_sets, width=width, buckets=buckets, percent=percent), SETS)
     sets = scratch.cut(sets)
     scratch.sweep()
@@ -189,12 +228,10 @@ def link_documents(docs: DataFrame, width: int = 3, percent: int = 90, key: str
     stars = shared.where("rep <> lead").select(*ends(F.col("rep"), F.col("lead"))).distinct()
     links = scratch.cut(_verified(stars, sets.select("rep", "n", "tokens"), percent))
     component = connect(links, scratch)
-    for last in (False, True):
-        pairs = scratch.cut(_open_pairs(shared, sets, component, percent, last))
-        more = scratch.cut(_verified(pairs, sets.select("rep", "n", "tokens"), percent))
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            component = connect(links, scratch)
+    pairs = scratch.cut(_open_pairs(shared, sets, component, percent))
+    more = scratch.cut(_verified(pairs, sets.select("rep", "n", "tokens"), percent))
+    if more.limit(1).count():
+        component = connect(links.unionByName(more), scratch)
     linked = named.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("owner", "other", F.col("doc").alias("class_id"), F.coalesce("component", "rep").alias("component"))
     least = linked.groupBy("component").agg(F.min("class_id").alias("component_id"))
     known = scratch.cut(linked.join(least, "component").select("owner", "other", "class_id", "component_id"))
@@ -204,8 +241,8 @@ def link_documents(docs: DataFrame, width: int = 3, percent: int = 90, key: str
     return out.select(back("doc").alias(key), "n_shingles", back("class_id").alias("class_id"), back("component_id").alias("component_id"))
 
 
-def _open_pairs(shared: DataFrame, sets: DataFrame, component: DataFrame, percent: int, last: bool) -> DataFrame:
-    """Pairs (a, b) that may still join two components: all of them, or the closest of each two components."""
+def _open_pairs(shared: DataFrame, sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a key and pass the bounds."""
     named = shared.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "partial", "members", F.coalesce("component", "rep").alias("component"))
     split = named.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
     split = split.where("_low < _high").select("key")
@@ -215,12 +252,5 @@ def _open_pairs(shared: DataFrame, sets: DataFrame, component: DataFrame, percen
     placed = named.join(split, "key").join(sets.select("rep", "n", "unique", "sketch"), "rep").select("key", "rep", "partial", "component", "n", "unique", "sketch", F.explode(slots).alias("slot"))
     placed = placed.select("key", "slot.i", "slot.j", "slot.side", "rep", "partial", "component", "n", "unique", "sketch")
 
-    def across(table: pa.Table) -> pa.Table:
-        return _across(table, percent)
-
-    pairs = placed.groupBy("key", "i", "j").applyInArrow(across, "a long, b long").distinct()
-    if last:
-        return pairs
-    of = lambda end: component.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
-    known = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("c_a", "a").alias("x"), F.coalesce("c_b", "b").alias("y"))
-    return known.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+    dealt = placed.select(*_PLACED).repartition(shuffle_partitions(shared.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(partial(_across, percent=percent), "a long, b long").distinct()

@@ -196,7 +196,8 @@ def _answer(batches, by_class: bool):
 
 
 def _assemble(table: pa.Table) -> pa.Table:
-    """The answers of one flush as a row for each document that has one, and its roster."""
+    """The answers of one flush as a row for each document that has one, n being its bits that are set, and
+    the flush's roster."""
     given: dict[tuple, list] = {}
     rows = []
     for x in table.to_pylist():
@@ -209,7 +210,7 @@ def _assemble(table: pa.Table) -> pa.Table:
             size = -(-n // 8)
             given.setdefault((doc, row, owner, other), []).append({"flush": x["flush"], "part": part, "bits": x["data"][at : at + size]})
             at += size
-    rows += [(POST, *who, 0, found) for who, found in given.items()]
+    rows += [(POST, *who, sum(int.from_bytes(x["bits"]).bit_count() for x in found), found) for who, found in given.items()]
     columns = list(zip(*rows, strict=True)) or [[] for _ in _ANSWERS]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ANSWERS, strict=True)], schema=_ANSWERS)
 
