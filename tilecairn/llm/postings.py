@@ -23,7 +23,7 @@ from tilecairn.llm.rolling import SIDE_BASE, mixed, window_hashes, word_hashes
 
 #: Postings gathered before a flush, bytes of text that a bucket's postings stand for at most on
 #: average, and bytes of text hashed at a time.
-FLUSH, BUCKET_BYTES, AT_ONCE = 1_500_000, 24 << 20, 2 << 20
+FLUSH, BUCKET_BYTES, AT_ONCE = 1_000_000, 12 << 20, 1 << 19
 POST, LOCAL, ROSTER = 0, 1, 2
 
 POSTS = "kind int, bucket int, flush long, doc array<long>, row array<long>, owner array<long>, other array<long>, n array<long>, data binary"

@@ -10,7 +10,7 @@ import numpy as np
 #: do not follow from the first.
 BYTE_BASE, WORD_BASE, SIDE_BASE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 #: Bytes hashed at a time; longer texts are cut between words.
-SLAB = 1 << 20
+SLAB = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
