@@ -4,25 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from tilecairn.functions.cells import BASE, LOW52, ZOOM_BITS
+from tilecairn.functions.cells import BASE, EVEN, LOW52, ZOOM_BITS
 from tilecairn.functions.mercator import EDGE
 from tilecairn.functions.pixels import combine_udf, decode_udf, normalized_difference
 from tilecairn.functions.stats import summary_udf
 
-_SPREAD = [(16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)]
-
 
 def _spread(v: str) -> str:
-    for k, m in _SPREAD:
-        v = f"(({v} | shiftleft({v}, {k})) & {m}L)" if len(v) < 12 else f"(aggregate(array({v}), 0L, (s, q) -> (q | shiftleft(q, {k})) & {m}L))"
-    return v
+    return f"cast(conv(bin({v}), 4, 10) as bigint)"
 
 
 def _compact(v: str) -> str:
-    out = f"({v} & {0x5555555555555555}L)"
-    for k, m in [(1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0xFFFFFFFF)]:
-        out = f"(aggregate(array({out}), 0L, (s, q) -> (q | shiftrightunsigned(q, {k})) & {m}L))"
-    return out
+    return f"cast(conv(conv(cast({v} & {EVEN}L as string), 10, 4), 2, 10) as bigint)"
 
 
 _Z = "cast(shiftrightunsigned(c, 52) & 31L as int)"
