@@ -58,11 +58,11 @@ def cell_sql(x: str, y: str, z: int) -> str:
 
 
 def x_sql(lon: str, z: int) -> str:
-    return f"greatest(0, least({(1 << z) - 1}, floor(({lon} / 360.0 + 0.5) * {1 << z})))::bigint"
+    return f"greatest(0, least({(1 << z) - 1}, floor((({lon}) / 360.0 + 0.5) * {1 << z})))::bigint"
 
 
 def y_sql(lat: str, z: int) -> str:
-    s = f"sin(radians({lat}))"
+    s = f"sin(radians(({lat})::double))"
     return f"greatest(0, least({(1 << z) - 1}, floor((0.5 - 0.25 * ln((1 + {s}) / (1 - {s})) / pi()) * {1 << z})))::bigint"
 
 
@@ -461,7 +461,7 @@ def cf_iso_duration(spark, d):
     k = F.col("n_nationkey")
     pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (k % 4 + 1).cast("int"))
     axis = fx.table(spark, d, "nation").select(k.alias("k"), pick("minutes", "hours", "days", "months").alias("unit"), pick(60, 24, 31, 1).alias("step"))
-    values = axis.select("k", "unit", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: i * F.col("step"))).cast("double").alias("v"))
+    values = axis.select("k", "unit", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (i * F.col("step")).cast("double"))).alias("v"))
     found = cftime.axis_interval(values, ["k", "unit"], "v")
     return found.select("k", "interval", "regular", F.when(F.col("regular"), cftime.iso_duration(F.col("unit"), F.col("interval"))).alias("duration"))
 
@@ -701,9 +701,9 @@ def terrain_slope(spark, d):
     return s.select("block", F.col("s.count").alias("n"))
 
 
-@query(f"WITH {POINTS}, p AS (SELECT {x_sql('lon', 4)} AS x, {y_sql('lat', 4)} AS y, greatest(0, least(15, floor((lon / 360.0 + 0.5) * 256) - 16 * {x_sql('lon', 4)}))::int AS pc, greatest(0, least(15, floor((0.5 - 0.25 * ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / pi()) * 256) - 16 * {y_sql('lat', 4)}))::int AS pr, value FROM points), g AS (SELECT x, y, pr, pc, avg(value) AS v FROM p GROUP BY ALL) SELECT {cell_sql('x', 'y', 4)} AS block, count(*) AS n, {q('sum(v)', 2)} AS total FROM g GROUP BY x, y")
+@query(f"WITH {POINTS}, p AS (SELECT {x_sql('lon', 4)} AS x, {y_sql('lat', 4)} AS y, greatest(0, least(15, floor((lon / 360.0 + 0.5) * 256) - 16 * {x_sql('lon', 4)}))::int AS pc, greatest(0, least(15, floor((0.5 - 0.25 * ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / pi()) * 256) - 16 * {y_sql('lat', 4)}))::int AS pr, value FROM points), g AS (SELECT x, y, pr, pc, sum(value) AS v FROM p GROUP BY ALL) SELECT {cell_sql('x', 'y', 4)} AS block, count(*) AS n, {q('sum(v)', 2)} AS total FROM g GROUP BY x, y")
 def points_to_tiles(spark, d):
-    t = convert.pixel_tiles(fx.points(spark, d), 4, SIZE, "float64", ["value"])
+    t = convert.pixel_tiles(fx.points(spark, d), 4, SIZE, "float64", ["value"], how="sum")
     s = t.select("block", st.summary_udf("float64")("band_1").alias("s"))
     return s.select("block", F.col("s.count").alias("n"), r("s.sum", 2).alias("total"))
 

@@ -109,16 +109,15 @@ def region_stats(tiles: DataFrame, band: str, kind: str, area: Area, zoom: int,
     sums, so pixels are never shuffled.
     """
     found = cover(area, zoom)
-    met = tiles.where(in_cover(F.col("block"), found))
     masked = masked_stats_udf(area, kind, size, nodata, compression)
     if not stored:
-        return met.select(masked("block", band).alias("s")).agg(*merged_of("s"))
+        return tiles.where(in_cover(F.col("block"), found)).select(masked("block", band).alias("s")).agg(*merged_of("s"))
     whole = type(found)(zoom, tuple(r for r in found.ranges if r[2]))
     edge = type(found)(zoom, tuple(r for r in found.ranges if not r[2]))
     c = lambda n: F.col(f"{band}_{n}")
     squares = c("count") * (c("stddev") * c("stddev") + c("mean") * c("mean"))
-    inner = met.where(in_cover(F.col("block"), whole)).select(F.struct(c("count"), c("sum"), c("mean"), c("min"), c("max"), c("stddev"), squares).cast(STATS).alias("s"))
-    outer = met.where(in_cover(F.col("block"), edge)).select(masked("block", band).alias("s"))
+    inner = tiles.where(in_cover(F.col("block"), whole)).select(F.struct(c("count"), c("sum"), c("mean"), c("min"), c("max"), c("stddev"), squares).cast(STATS).alias("s"))
+    outer = tiles.where(in_cover(F.col("block"), edge)).select(masked("block", band).alias("s"))
     return inner.unionAll(outer).agg(*merged_of("s"))
 
 

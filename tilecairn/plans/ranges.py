@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tilecairn.functions.cells import zoom_range
+from tilecairn.functions.cells import ZOOM_BITS, parent, zoom_range
 from tilecairn.functions.geometry import Area, Cover, cover
 
 #: Ranges that one predicate holds at most.
@@ -29,20 +29,18 @@ def in_ranges(block: Column, ranges: list[tuple[int, int]]) -> Column:
 
 
 def in_cover(block: Column, found: Cover, most: int = MOST_RANGES) -> Column:
-    """Whether an id is in a cover: a few wide ranges for the reader, and where those were closed over gaps, a
-    lookup of the range at or before the id."""
+    """Whether an id is in a cover: a few wide ranges for the reader, and where those were closed over gaps, also
+    the exact test, whether an ancestor of the id is one of the whole cells that the cover consists of."""
     wide = found.merged(most)
-    exact = found.merged(1 << 30)
     test = in_ranges(block, wide)
-    return test if len(exact) == len(wide) else test & _within(block, exact)
-
-
-def _within(block: Column, spans: list[tuple[int, int]]) -> Column:
-    """Exact membership in sorted ranges by a tree of comparisons."""
-    if len(spans) <= 4:
-        return in_ranges(block, spans)
-    half = len(spans) // 2
-    return F.when(block < spans[half][0], _within(block, spans[:half])).otherwise(_within(block, spans[half:]))
+    if len(wide) == len(found.merged(1 << 30)):
+        return test
+    by_zoom: dict[int, list[int]] = {}
+    for first, last, _ in found.ranges:
+        z = found.zoom if first == last else found.zoom - ((last - first + 1 >> 52 - 2 * found.zoom).bit_length() - 1) // 2
+        low = (1 << (52 - 2 * z)) - 1
+        by_zoom.setdefault(z, []).append(first & ~ZOOM_BITS & ~low | z << 52 | low)
+    return test & reduce(lambda p, q: p | q, [parent(block, z).isin(found_) for z, found_ in sorted(by_zoom.items())])
 
 
 def intersects(block: Column, area: Area, zoom: int, mode: str = "intersects") -> Column:
