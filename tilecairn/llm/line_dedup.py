@@ -42,7 +42,7 @@ def dedup_lines(docs: DataFrame, threshold: int = 2, least_chars: int = 10, key:
     if threshold == 2:
         shared = lines.groupBy("_h", "_g").agg(first, last).where("_first < _last").select("_h", "_g", "_first")
     else:
-        per_doc = lines.groupBy("_h", "_g", "_doc").agg()
+        per_doc = lines.select("_h", "_g", "_doc").distinct()
         shared = per_doc.groupBy("_h", "_g").agg(first, F.count("*").alias("_n")).where(F.col("_n") >= threshold).select("_h", "_g", "_first")
     shared = scratch.cut(shared)
     dropped = lines.join(shared, ["_h", "_g"]).where("_doc > _first").groupBy("_doc", "_row").agg(F.collect_set("_at").alias("_drop"))

@@ -212,9 +212,9 @@ def tokens(text: str) -> list[str]:
     return out + [m[0].replace(" ", "") for m in SPACED.finditer(low)] if SPACED.search(low) else out
 
 
-def group(words) -> int:
-    """One minimum hash of a text's words, which its near copies mostly share."""
-    return min((zlib.crc32(w.encode()) for w in words), default=0)
+def group(found: list[str]) -> int:
+    """One minimum hash of a text's runs of three tokens, which its near copies mostly share."""
+    return min((zlib.crc32(" ".join(found[i : i + 3]).encode()) for i in range(max(1, len(found) - 2))), default=0)
 
 
 def _count_letters(batches):
@@ -230,9 +230,9 @@ def _toxic_features(batches, model: Model):
     for batch in batches:
         out = []
         for text in batch.column(0).to_pylist():
-            words = Counter(tokens(text))
-            g = group(words)
-            out += [(f, g) for f in counted(words, model.features)]
+            found = tokens(text)
+            g = group(found)
+            out += [(f, g) for f in counted(Counter(found), model.features)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64()), strict=True)], ["feature", "group"])
 
@@ -251,8 +251,8 @@ def _examples(batches, model: Model, place: dict):
     for batch in batches:
         out = []
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = Counter(tokens(text))
-            out.append((label, group(words), [place[f] for f in counted(words, model.features) if f in place]))
+            words = tokens(text)
+            out.append((label, group(words), [place[f] for f in counted(Counter(words), model.features) if f in place]))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["label", "group", "found"])
 
 
