@@ -23,8 +23,10 @@ from tilecairn.llm.rolling import SIDE_BASE, mixed, window_hashes, word_hashes
 
 #: Postings gathered before a flush, bytes of text that a bucket's postings stand for at most on
 #: average, and bytes of text hashed at a time.
-FLUSH, BUCKET_BYTES, AT_ONCE = 1_000_000, 12 << 20, 1 << 19
-POST, LOCAL, ROSTER = 0, 1, 2
+FLUSH, BUCKET_BYTES, AT_ONCE = 1_500_000, 24 << 20, 1 << 19
+#: Kinds of rows: postings or their answers, bits known in the flush, the roster of all documents, and the
+#: directory of those that posted, by whose places the other two name them.
+POST, LOCAL, ROSTER, NAMES = 0, 1, 2, 3
 
 POSTS = "kind int, bucket int, flush long, doc array<long>, row array<long>, owner array<long>, other array<long>, n array<long>, data binary"
 ANSWERS = "kind int, doc long, row long, owner long, other long, n long, given array<struct<flush:long,part:int,bits:binary>>"
@@ -143,12 +145,11 @@ def _flushed(held: list[tuple], name: int, buckets: int, by_class: bool):
     else:
         local[order] = group > np.repeat(least, spans)
     firsts = np.cumsum(sizes) - sizes
+    yield _row(NAMES, name % buckets, name, [[x[k] for x in held] for k in range(4)] + [[]], b"")
     if some := np.unique(at[local]).tolist():
-        chosen = [held[i] for i in some]
         bits = b"".join(np.packbits(local[firsts[i] : firsts[i] + sizes[i]]).tobytes() for i in some)
-        yield _row(LOCAL, name % buckets, name, [[x[k] for x in chosen] for k in range(4)] + [[len(x[4]) for x in chosen]], bits)
+        yield _row(LOCAL, name % buckets, name, [some, [], [], [], sizes[some].tolist()], bits)
     asked = np.flatnonzero(~local)
-    keys = [np.array([x[k] for x in held], np.int64) for k in range(4)]
     at = np.concatenate([at[asked], np.full(len(marks), -1)])
     index = np.concatenate([asked, marks])
     order = np.argsort(bucket[index], kind="stable")
@@ -160,7 +161,7 @@ def _flushed(held: list[tuple], name: int, buckets: int, by_class: bool):
         part = at[a:b]
         edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         who = part[edges]
-        lists = [np.where(who < 0, 0, k[who]) for k in keys] + [np.diff(edges, append=b - a)]
+        lists = [who, [], np.where(who < 0, 0, owners[who]), [], np.diff(edges, append=b - a)]
         yield _row(POST, int(bucket[index[a]]), name, lists, h[index[a:b]].tobytes())
 
 
@@ -189,28 +190,31 @@ def _answer(batches, by_class: bool):
             edges = at + np.concatenate([[0], np.cumsum(n)])
             at = int(edges[-1])
             hit = np.flatnonzero(np.add.reduceat(bit[edges[0] : at], edges[:-1] - edges[0]) > 0)
-            hit = [i for i in hit.tolist() if not (by_class and x["owner"][i] == 0 and x["row"][i] == 0)]
+            hit = [i for i in hit.tolist() if x["doc"][i] >= 0]
             if hit:
                 bits = b"".join(np.packbits(bit[edges[i] : edges[i + 1]]).tobytes() for i in hit)
-                yield _row(POST, bucket, x["flush"], [[x[k][i] for i in hit] for k in _LISTS], bits)
+                yield _row(POST, bucket, x["flush"], [[x["doc"][i] for i in hit], [], [], [], [x["n"][i] for i in hit]], bits)
 
 
 def _assemble(table: pa.Table) -> pa.Table:
     """The answers of one flush as a row for each document that has one, n being its bits that are set, and
     the flush's roster."""
-    given: dict[tuple, list] = {}
-    rows = []
+    given: dict[int, list] = {}
+    rows, names = [], {}
     for x in table.to_pylist():
         if x["kind"] == ROSTER:
             rows += [(ROSTER, *y, None) for y in zip(*(x[k] for k in _LISTS), strict=True)]
             continue
+        if x["kind"] == NAMES:
+            names = x
+            continue
         at = 0
         part = -1 if x["kind"] == LOCAL else x["bucket"]
-        for doc, row, owner, other, n in zip(*(x[k] for k in _LISTS), strict=True):
+        for i, n in zip(x["doc"], x["n"], strict=True):
             size = -(-n // 8)
-            given.setdefault((doc, row, owner, other), []).append({"flush": x["flush"], "part": part, "bits": x["data"][at : at + size]})
+            given.setdefault(i, []).append({"flush": x["flush"], "part": part, "bits": x["data"][at : at + size]})
             at += size
-    rows += [(POST, *who, sum(int.from_bytes(x["bits"]).bit_count() for x in found), found) for who, found in given.items()]
+    rows += [(POST, *(names[k][i] for k in _LISTS[:4]), sum(int.from_bytes(x["bits"]).bit_count() for x in found), found) for i, found in given.items()]
     columns = list(zip(*rows, strict=True)) or [[] for _ in _ANSWERS]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ANSWERS, strict=True)], schema=_ANSWERS)
 
