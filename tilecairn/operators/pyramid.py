@@ -192,6 +192,12 @@ def _slope(given, size: int, metres: float, compression: str | None) -> bytes:
             dy, dx = i // 3 - 1, i % 3 - 1
             shape = (size if dy == 0 else 1, size if dx == 0 else 1)
             wide[place[dy], place[dx]] = v.reshape(shape)
+    for i in (0, 2, 6, 8):  # a corner without a neighbour repeats that of a side
+        if i not in parts:
+            y, x = (size + 1 if i < 3 else 0), (size + 1 if i % 3 == 0 else 0)
+            near_y, near_x = min(max(y, 1), size), min(max(x, 1), size)
+            side = 3 if i % 3 == 0 else 5
+            wide[y, x] = wide[near_y, x] if side in parts else wide[y, near_x]
     a, b, c = wide[:-2, :-2], wide[:-2, 1:-1], wide[:-2, 2:]
     d, f = wide[1:-1, :-2], wide[1:-1, 2:]
     g, h, i = wide[2:, :-2], wide[2:, 1:-1], wide[2:, 2:]
