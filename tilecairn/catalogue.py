@@ -181,6 +181,14 @@ def sql_functions(spark, d):
     return spark.sql("SELECT cell_from_tile(cell_x(c), cell_y(c), cell_resolution(c)) AS block, count(*) AS n FROM (SELECT cell_parent(cell_from_point(lon, lat, 13), 9) AS c FROM _points) GROUP BY 1")
 
 
+@query(f"WITH {FULL} SELECT block, count(*) AS n, {q('avg(v)')} AS mean, {q('max(v) FILTER (pr = 2 AND pc = 3)')} AS pixel, {q('min((v - w) / (v + w)) FILTER (v + w <> 0)', 2)} AS low FROM px JOIN tl USING (t) GROUP BY block")
+def sql_raster_functions(spark, d):
+    names.register(spark, {"demo": ("float32", None, SIZE)})
+    fx.float_tiles(spark, d).createOrReplaceTempView("_tiles")
+    return spark.sql("""SELECT block, s.count AS n, round(s.mean, 4) + 0.0D AS mean, round(pixel, 4) + 0.0D AS pixel, round(array_min(filter(apart, v -> not isnan(v))), 2) + 0.0D AS low FROM (
+        SELECT block, raster_stats_demo(band_1) AS s, raster_value_demo(band_1, 3, 2) AS pixel, raster_pixels_doubles(raster_difference_demo(band_1, band_2)) AS apart FROM _tiles)""")
+
+
 # Filters on cells.
 
 
@@ -445,6 +453,17 @@ def cf_parse_units(spark, d):
     return _axes(spark, d).select("event_id", "p.unit", F.date_format("p.reference", "yyyy-MM-dd HH:mm:ss").alias("reference"))
 
 
+@query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE 'days since 1992-01-01' END AS units, CASE WHEN event_id % 3 = 2 THEN NULL WHEN event_id % 3 = 0 THEN 'noleap' ELSE 'standard' END AS calendar, CASE WHEN event_id % 3 = 2 THEN NULL ELSE (2 * event_id + 1)::double END AS total, CASE WHEN event_id % 2 = 0 THEN event_id::double END AS band_time FROM events")
+def cf_axis(spark, d):
+    e = F.col("event_id")
+    text = F.concat(F.lit("{"), e, F.lit(", "), e + 1, F.lit("}"))
+    unit = F.lit("days since 1992-01-01")
+    items = F.when(e % 3 == 0, F.create_map(F.lit("time#units"), unit, F.lit("time#calendar"), F.lit("noleap"), F.lit("NETCDF_DIM_time_VALUES"), text)).when(e % 3 == 1, F.create_map(F.lit("valid_time#units"), unit, F.lit("NETCDF_DIM_time_VALUES"), text)).otherwise(F.create_map(F.lit("x"), F.lit("y")))
+    band = F.create_map(F.lit("NETCDF_DIM_time"), F.when(e % 2 == 0, e.cast("string")).otherwise("none"))
+    a = fx.table(spark, d, "events").select("event_id", cftime.axis_of(items).alias("a"), cftime.band_time(band).alias("band_time"))
+    return a.select("event_id", "a.units", "a.calendar", F.aggregate("a.values", F.lit(0.0), lambda s, v: s + v).alias("total"), "band_time")
+
+
 @query("""WITH v AS (SELECT event_id, event_id % 8 AS k, (event_id // 8 % 40) AS n FROM events)
     SELECT event_id, strftime(CASE k WHEN 0 THEN TIMESTAMP '1980-01-01' + to_minutes(n) WHEN 1 THEN TIMESTAMP '1992-01-01' + to_days(n::int) WHEN 2 THEN TIMESTAMP '2000-02-29 12:00' + to_hours(n)
         WHEN 3 THEN CASE WHEN day(TIMESTAMP '1999-01-31' + to_months(n::int)) = 31 THEN TIMESTAMP '1999-01-31' + to_months(n::int) END

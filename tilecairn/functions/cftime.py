@@ -37,6 +37,23 @@ def parse_units(units: Column) -> Column:
     return F.when(plural.isNotNull() & reference.isNotNull(), F.struct(plural.alias("unit"), reference.alias("reference")))
 
 
+def axis_of(items: Column) -> Column:
+    """A struct of units, calendar and values of the time axis among the metadata items (a map of texts) of a data
+    set; null without units. Of several axes that of "time" counts, else the first whose name has "time" in it."""
+    named = F.filter(F.map_keys(items), lambda k: k.endswith("#units") & F.contains(F.lower(k), F.lit("time")))
+    units = F.coalesce(F.try_element_at(items, F.lit("time#units")), F.try_element_at(items, F.try_element_at(named, F.lit(1))))
+    calendar = F.coalesce(F.try_element_at(items, F.lit("time#calendar")), F.lit("standard"))
+    listed = F.split(F.btrim(F.try_element_at(items, F.lit("NETCDF_DIM_time_VALUES")), F.lit("{}")), ",")
+    values = F.transform(listed, lambda v: F.trim(v).try_cast("double"))
+    good = F.when(~F.exists(values, lambda v: v.isNull()), values)
+    return F.when(units.isNotNull(), F.struct(units.alias("units"), calendar.alias("calendar"), F.coalesce(good, F.array().cast("array<double>")).alias("values")))
+
+
+def band_time(items: Column) -> Column:
+    """The place of a band on the time axis, from its metadata items; null where it has none."""
+    return F.try_element_at(items, F.lit("NETCDF_DIM_time")).try_cast("double")
+
+
 def to_timestamp(value: Column, unit: Column, reference: Column, calendar: Column | None = None) -> Column:
     """The time of a value on an axis. Seconds to days are added exactly, to the microsecond; months and years
     by the calendar with the day of the month kept. Null for an unknown unit, another calendar than the

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VERSION = "0.5.0"
+VERSION, SCHEME = "0.5.0", "cells"
 # Versions that are read, fields that must be there, and ends of statistics columns.
 VERSIONS = ("0.2.0", "0.3.0", "0.4.0", "0.5.0")
 REQUIRED = ("width", "height", "crs", "bounds", "bounds_crs", "tiling", "compression", "bands")
@@ -58,7 +58,7 @@ class Band:
 
 def document(bands: list[Band], bounds: list[float], width: int, height: int, least_zoom: int, most_zoom: int, block_size: int, blocks: int, compression: str | None = "gzip", layout: str = "sequential", quality: int | None = None, tile_statistics: bool = False, time: dict | None = None, file_format: str = "tiles", **more) -> dict:
     """The metadata of a table as a dictionary. ``more`` holds further root fields, such as processing or custom."""
-    tiling = {"scheme": "quadbin", "block_width": block_size, "block_height": block_size, "min_zoom": least_zoom, "max_zoom": most_zoom, "pixel_zoom": most_zoom + int(math.log2(block_size)), "num_blocks": blocks}
+    tiling = {"scheme": SCHEME, "block_width": block_size, "block_height": block_size, "min_zoom": least_zoom, "max_zoom": most_zoom, "pixel_zoom": most_zoom + int(math.log2(block_size)), "num_blocks": blocks}
     out = {"file_format": file_format, "version": VERSION, "width": width, "height": height, "crs": "EPSG:3857", "bounds": bounds, "bounds_crs": "EPSG:4326", "tiling": tiling, "compression": None if compression == "none" else compression, "bands": [b.document() for b in bands]}
     if layout == "interleaved":
         out["band_layout"] = layout
@@ -76,7 +76,7 @@ def normalized(meta: dict) -> dict:
     if "tiling" in meta:
         return meta
     old = {"block_width": "block_width", "block_height": "block_height", "min_zoom": "minresolution", "max_zoom": "maxresolution", "num_blocks": "num_blocks"}
-    tiling = {"scheme": "quadbin"} | {new: meta.get(key) for new, key in old.items()}
+    tiling = {"scheme": SCHEME} | {new: meta.get(key) for new, key in old.items()}
     if tiling["max_zoom"] is not None and tiling["block_width"]:
         tiling["pixel_zoom"] = meta.get("pixresolution", tiling["max_zoom"] + int(math.log2(tiling["block_width"])))
     bands = [b | ({"nodata": meta["nodata"]} if "nodata" in meta and "nodata" not in b else {}) for b in meta.get("bands", [])]

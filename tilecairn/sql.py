@@ -6,8 +6,9 @@ from pyspark.sql import SparkSession
 
 from tilecairn.functions.cells import BASE, EVEN, LOW52, ZOOM_BITS
 from tilecairn.functions.mercator import EDGE
-from tilecairn.functions.pixels import combine_udf, decode_udf, normalized_difference
+from tilecairn.functions.pixels import combine_udf, decode_udf, is_empty_udf, normalized_difference
 from tilecairn.functions.stats import summary_udf
+from tilecairn.operators.zonal import value_udf
 
 
 def _spread(v: str) -> str:
@@ -31,16 +32,20 @@ FUNCTIONS = {
 }
 
 
-def register(spark: SparkSession, bands: dict[str, tuple[str, object]] | None = None) -> None:
-    """Register the cell functions as temporary SQL functions, and for each named pixel type, such as
-    {"dem": ("float32", -9999)}, raster_stats_<name>(blob), raster_pixels_<name>(blob) and
-    raster_difference_<name>(blob, blob)."""
+def register(spark: SparkSession, bands: dict[str, tuple] | None = None) -> None:
+    """Register the cell functions as temporary SQL functions, and for each named kind of band, such as
+    {"dem": ("float32", -9999, 256)} (pixel type, nodata, block size), raster_stats_<name>(blob),
+    raster_pixels_<name>(blob), raster_value_<name>(blob, px, py), raster_empty_<name>(blob) and
+    raster_difference_<name>(blob, blob), whose float64 blobs raster_pixels_doubles(blob) reads."""
     for name, (kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name} RETURNS {kind} RETURN {body}")
-    for name, (kind, nodata) in (bands or {}).items():
+    for name, (kind, nodata, size) in (bands or {}).items():
         spark.udf.register(f"raster_stats_{name}", summary_udf(kind, nodata))
         spark.udf.register(f"raster_pixels_{name}", decode_udf(kind, nodata=nodata))
+        spark.udf.register(f"raster_value_{name}", value_udf(kind, size, nodata))
+        spark.udf.register(f"raster_empty_{name}", is_empty_udf(kind, nodata))
         spark.udf.register(f"raster_difference_{name}", combine_udf(normalized_difference, kind, nodata=nodata))
+        spark.udf.register("raster_pixels_doubles", decode_udf("float64"))
 
 
 def table_view(spark: SparkSession, name: str, path: str) -> None:
