@@ -17,7 +17,7 @@ from tilecairn.functions.pixels import TYPES, decode, decode_udf, display
 from tilecairn.plans.ranges import in_zoom
 
 #: Names of color interpretations, by their code from 0 on.
-COLOURS = "undefined gray palette red green blue alpha hue saturation lightness cyan magenta yellow black YCbCr_Y YCbCr_Cb YCbCr_Cr pan coastal rededge nir swir mwir lwir tir otherir sar_ka sar_k sar_ku sar_x sar_c".split()
+COLOURS = "undefined gray palette red green blue alpha hue saturation lightness cyan magenta yellow black pan coastal rededge nir swir mwir lwir tir otherir sar_ka sar_k sar_ku sar_x sar_c sar_s sar_l sar_p".split()
 
 
 def mosaic(tiles: DataFrame, band: str, kind: str, size: int, zoom: int, nodata=None, compression: str | None = None) -> DataFrame:
