@@ -113,6 +113,17 @@ ORACLES = {
         k AS (SELECT doc_id, list_sort(list(g)) AS g FROM s GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN n > 0 THEN min(d.doc_id) OVER (PARTITION BY g) ELSE d.doc_id END AS class_id, component_id
         FROM d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
+    # the pages of the tables all hold one article of paragraphs, for which text functions are enough
+    "op5_html_text": r"""
+        WITH a AS (
+            SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS x FROM pages
+        ), b AS (
+            SELECT page_id, url, list_transform(regexp_split_to_array(x, '</?(?:p|h1)>'), lambda t: regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(
+                regexp_replace(replace(t, '<br>', ' '), '</?b>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#x27;', chr(39)), '&amp;?', '&', 'g')) AS l FROM a
+        ), c AS (
+            SELECT page_id, url, array_to_string(list_filter(list_transform(l, lambda t: trim(regexp_replace(t, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')), lambda t: t <> ''), chr(10)) AS text FROM b
+        )
+        SELECT page_id, url, text, length(text) AS n_chars FROM c""",
     "op7_line_dedup": f"""
         WITH l AS (
             SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS a FROM documents
