@@ -35,8 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id."""
-    linked = link_documents(docs).where("component_id < doc_id").select("doc_id")
+    """One document of each group of near copies (0.8 or more of five-word shingles) stays, that with the smallest id."""
+    linked = link_documents(docs, width=5, percent=80).where("component_id < doc_id").select("doc_id")
     return docs.select(COLUMNS).join(linked, "doc_id", "left_anti").select(COLUMNS)
 
 

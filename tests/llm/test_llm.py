@@ -422,3 +422,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert e.columns == p.COLUMNS and all(r.n_chars == len(r.text or "") for r in e.collect())
     f = p.run(spark, d)
     assert {r.doc_id for r in f.collect()} == set(after)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_pipeline_near_copies(spark, seed):
+    import corpus_pipeline as p
+
+    base = [f"b{i}" for i in range(200)]
+    rows = near_copies(seed) + [(2000, " ".join(base)), (2001, " ".join(base + [f"n{i}" for i in range(30)])), (2002, " ".join(base[:170])), (2003, "one two"), (2004, None)]
+    kept = lambda width, percent: {i for i, (_, first) in brute_links(rows, width, percent).items() if i == first}
+    out = p.jaccard_join(spark, frame(spark, rows, 4, extra=True), "")
+    assert {r.doc_id for r in out.collect()} == kept(5, 80) < kept(3, 90)
