@@ -202,6 +202,23 @@ def test_html_pages_of_the_tables():
         assert html_text.main_text(page) == "\n".join(x for x in want if x)
 
 
+LONG = "A sentence of plain text that goes on for quite a while. " * 9
+
+
+def test_html_of_unwanted_elements_ends_where_it_should():
+    text, long = html_text.main_text, LONG.strip()
+    assert text(f"<table><tr><td class=sidebar>menu<td><p>{long}</table>") == long
+    assert text("<article><p>intro</p><ul><li class=related>x<li>y</ul><p>rest</p></article>") == "intro\ny\nrest"
+    assert text(f"<div><nav>menu</div><p>{long}") == long and text("<p hidden>a<p>b") == "b"
+    for wrapper in ("<div class='layout sidebar-right'>", "<div class='page has-sidebar'>", "<article class='post no-comments'>", "<form>"):
+        end = "</" + wrapper[1:].split()[0].strip(">") + ">"
+        assert text(f"<body>{wrapper}<div><p>{long}</p><p>b</p></div>{end}<div class=sidebar>side</div></body>") == f"{long}\nb"
+        assert text(f"<body>{wrapper}<main><p>short</p></main>{end}<nav>menu</nav></body>") == "short"
+    comments = "<div id=comments>" + f"<div><p>{long}</p></div>" * 3 + "</div>"
+    assert text(f"<body><article><p>t</p></article>{comments}</body>") == "t"
+    assert text(f"<body><article class='post no-comments'><p>t</p></article><div id=comments><article class=comment><p>{long}</p></article></div></body>") == "t"
+
+
 TOXIC = ["stupid", "idiot", "moron", "trash"]
 
 

@@ -33,40 +33,51 @@ HINT = re.compile(
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+#: What becomes of an element: it may stay, goes unless the main text is in it, goes if it has its own end
+#: (else its extent is not known and it counts as the one before), goes in any case.
+STAYS, MAY_GO, GOES_CLOSED, GOES = 0, 1, 2, 3
+
+
 class Node:
-    __slots__ = ("children", "chars", "density", "link_chars", "link_tags", "parent", "tag", "tags")
+    __slots__ = ("children", "chars", "density", "fate", "hinted", "link_chars", "link_tags", "parent", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.children = tag, parent, []
+    def __init__(self, tag: str, parent: Node | None, fate: int = STAYS, hinted: bool = False):
+        self.tag, self.parent, self.children, self.fate, self.hinted = tag, parent, [], fate, hinted
 
 
-def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element goes with all it holds; inside: it is within an article or main."""
-    if tag in DROPPED or tag == "header" and not inside:
-        return True
+def _fate(tag: str, attributes: str, inside: bool) -> tuple[int, bool]:
+    """What becomes of an element, and whether its class, id or role has a hint; inside: it is within an article or main."""
+    if tag == "form":
+        fate = MAY_GO
+    elif tag in DROPPED or tag == "header" and not inside:
+        fate = GOES_CLOSED
+    else:
+        fate = STAYS
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return fate, False
     found = {}
     for name, *values in ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), "".join(values))
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or HIDDEN.search(found.get("style", "")):
-        return True
-    if tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "a", "b", "i", "em", "strong", "span"):
-        return False
-    return any(HINT.search(found[x]) for x in ("class", "id", "role", "aria-label") if x in found and found[x])
+        return GOES, False
+    if fate != STAYS or tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "a", "b", "i", "em", "strong", "span"):
+        return fate, False
+    hinted = any(HINT.search(found[x]) for x in ("class", "id", "role", "aria-label") if x in found and found[x])
+    return (MAY_GO if hinted and tag != "article" else STAYS), hinted
 
 
 def parse(page: str) -> Node:
     """The elements of a page that may hold main text, with their texts still encoded.
 
     Tags that end nothing are passed over, elements left open end with what holds them, and an opening
-    tag of a block ends an open paragraph, as browsers have it.
+    tag of a block ends an open paragraph, as browsers have it. Elements that are not main text are
+    parsed like the others and go afterwards (settle()).
     """
     root = Node("#root", None)
-    at, gone, depth, start = root, None, 0, 0
+    at, start = root, 0
     find = MARKUP.search
     while m := find(page, start):
-        if m.start() > start and gone is None:
+        if m.start() > start:
             at.children.append(page[start : m.start()])
         start = m.end()
         closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
@@ -77,17 +88,13 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(page, start)
             start = end.end() if end else len(page)
             continue
-        if gone is not None:  # within an element that goes; only its own nesting counts
-            if tag == gone:
-                depth += -1 if closing else (not attributes.endswith("/"))
-                if depth == 0:
-                    gone = None
-            continue
         if closing:
             x = at
             while x is not root and x.tag != tag:
                 x = x.parent
             if x is not root:
+                if x.fate == GOES_CLOSED:
+                    x.fate = GOES
                 at = x.parent
             continue
         if tag in BLOCKS:
@@ -109,18 +116,59 @@ def parse(page: str) -> Node:
         inside, x = False, at
         while tag == "header" and x is not root and not inside:
             inside, x = x.tag in ("article", "main"), x.parent
-        if tag not in VOID and _unwanted(tag, attributes, inside):
-            if not attributes.endswith("/"):
-                gone, depth = tag, 1
+        fate, hinted = (STAYS, False) if tag in VOID else _fate(tag, attributes, inside)
+        if fate != STAYS and attributes.endswith("/"):
             continue
         if tag in ("html", "body") and any(c for c in _path(at) if c.tag == tag):
             continue
-        node = Node(tag, at)
+        node = Node(tag, at, fate, hinted)
         at.children.append(node)
         if tag not in VOID and not (attributes.endswith("/") and tag not in BLOCKS):
             at = node
-    if start < len(page) and gone is None:
+    if start < len(page):
         at.children.append(page[start:])
+    return settle(root)
+
+
+def _without(node: Node, goes) -> None:
+    """Take the elements that go out of the tree, with all they hold."""
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        x.children = [c for c in x.children if isinstance(c, str) or not goes(c)]
+        todo += [c for c in x.children if isinstance(c, Node)]
+
+
+def settle(root: Node) -> Node:
+    """Take out the elements that are not main text.
+
+    One that goes by its class, id or role, a form, or one without an end of its own stays where the main
+    text is in it, and the densities decide: if articles or main are only within such elements, those round
+    the least nested ones; and those with most of the page's text outside links, if they hold an article
+    or main without a hint or there is none elsewhere.
+    """
+    _without(root, lambda c: c.fate == GOES)
+    if not any(x.fate for x in _ordered(root)):
+        return root
+    nodes = measure(root)
+    depth: dict[int, int] = {}
+    for x in nodes:
+        depth[id(x)] = (depth[id(x.parent)] if x.parent else 0) + (x.fate != STAYS)
+    texts = [x for x in nodes if x.tag in ("article", "main") and x.chars]
+    least = min((depth[id(x)] for x in texts), default=0)
+    stay: set[int] = set()
+    for x in texts:
+        if depth[id(x)] == least > 0:
+            stay.update(id(y) for y in _path(x))
+    plain: set[int] = set()
+    for x in texts:
+        if not x.hinted:
+            plain.update(id(y) for y in _path(x))
+    half = (root.chars - root.link_chars) / 2
+    for x in nodes:
+        if x.fate != STAYS and x.chars - x.link_chars > half and (id(x) in plain or not texts or least > 0):
+            stay.add(id(x))
+    _without(root, lambda c: c.fate != STAYS and id(c) not in stay)
     return root
 
 
@@ -235,8 +283,9 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", page
     """One row per row of pages: the key, url, text and n_chars (code points).
 
     Elements that are menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts or
-    styles by their tag, class, id or role go first; of the rest main_element() takes the subtree with the
-    largest sum of text densities. Character references are decoded, white space within a block becomes one
+    styles by their tag, class, id or role go first, but not by class or as a form where they hold the main
+    text (settle()); of the rest main_element() takes the subtree with the largest sum of text densities.
+    Character references are decoded, white space within a block becomes one
     space, and blocks are joined by a line feed.
 
     A narrow job without a shuffle. A null or empty page has the empty text; null keys and urls stay null;
