@@ -219,6 +219,19 @@ def test_html_of_unwanted_elements_ends_where_it_should():
     assert text(f"<body><article class='post no-comments'><p>t</p></article><div id=comments><article class=comment><p>{long}</p></article></div></body>") == "t"
 
 
+def test_html_keeps_what_lies_beside_the_densest_element():
+    text, long = html_text.main_text, LONG.strip()
+    two = f"<div class=text><p>{long}</p><p>{long}</p></div>"
+    assert text(f"<body><div id=main><h1>title of 20</h1>{two}</div></body>") == f"title of 20\n{long}\n{long}"
+    rest = "<div><h2>section</h2><p>short</p><p>one</p></div><blockquote>quote</blockquote><ul><li>x<li>y</ul>lying <i>beside</i>"
+    links = "<ul><li><a href=a>Home page</a><li><a href=b>About us</a></ul>"
+    want = f"title\n{long}\n{long}\nsection\nshort\none\nquote\nx\ny\nlying beside"
+    assert text(f"<body><div>{links}<h1><a href=c>title</a></h1>{two}{rest}</div></body>") == want
+    assert text(f"<body>{links}<h1>title</h1>{two}{rest}</body>") == want
+    assert text(f"<body><article><h1>a</h1><p>{long}</p></article><article><p>b</p></article>{links}</body>") == f"a\n{long}\nb"
+    assert text(f"<body><main><h1>a</h1><article><p>{long}</p></article><p>b</p></main></body>") == f"a\n{long}\nb"
+
+
 TOXIC = ["stupid", "idiot", "moron", "trash"]
 
 

@@ -30,6 +30,7 @@ HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:s|ed)?|promo(?:s|tion|tions)?|sidebars?|aside|menus?|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|replies|reply|respond|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscribe|subscription|signup|popup|modal|overlay|social|share|sharing|related|recommended|recommendations|widgets?|toolbar|pagination|pager|copyright|disclaimer|login|search|complementary|contentinfo|dialog)(?:$|[\s_-])",
     re.I,
 )
+HEADING = re.compile("h[1-6]")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -215,13 +216,42 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def _linked(units: list) -> bool:
+    """Whether most of the text of these texts and elements is links; headings and rules are not asked."""
+    if any(isinstance(c, Node) and HEADING.fullmatch(c.tag) for c in units):
+        return False
+    chars = links = 0
+    for c in units:
+        if isinstance(c, str):
+            chars += len(RUN.sub(" ", c).strip(SPACES))
+        else:
+            chars += c.chars
+            links += c.chars if c.tag == "a" else c.link_chars
+    return 2 * links > chars
+
+
+def _beside(parent: Node, kept: Node) -> list:
+    """The children of an element without those that are mostly links; text and elements in the flow count together."""
+    out, run = [], []
+    for c in [*parent.children, None]:
+        if isinstance(c, str) or isinstance(c, Node) and c is not kept and c.tag not in BLOCKS:
+            run.append(c)
+            continue
+        if run and not _linked(run):
+            out += run
+        run = []
+        if c is not None and (c is kept or not _linked([c])):
+            out.append(c)
+    return out
+
+
 def main_element(root: Node) -> Node:
-    """The subtree with the main text.
+    """The subtree with the main text; of the tree, what goes is taken out.
 
-    Of all elements the one with the largest sum of its children's densities is taken first. The least
-    density on its way up to the body is the threshold: while the parent has another child element of at
-    least that density, or the element lies within an article or main, the choice widens to the parent, so
-    that a text spread over several sections stays whole.
+    Of all elements the one with the largest sum of its children's densities is the seed. Within main the
+    choice widens to that, within an article alone to the outermost one and the articles beside it,
+    elsewhere to the whole body, so that headings, lists and short sections beside the densest one stay.
+    What lies beside the way up goes if it is mostly links, unless it is within an article.
     """
     nodes = measure(root)
     total = lambda n: sum(c.density for c in n.children if isinstance(c, Node))
@@ -229,12 +259,18 @@ def main_element(root: Node) -> Node:
     if not total(best):
         return root
     way = _path(best)
-    outer = [x for x in way if x.tag in ("article", "main")]
-    if outer:
-        articles = [x for x in outer if x.tag == "article"]
-        return (articles or outer)[-1]
-    threshold = min(x.density for x in way if x.tag not in ("#root", "html")) if any(x.tag not in ("#root", "html") for x in way) else 0.0
-    while best.parent is not None and best.tag != "body" and any(isinstance(c, Node) and c is not best and c.chars and c.density >= threshold for c in best.parent.children):
+    articles, mains = ([x for x in way if x.tag == tag] for tag in ("article", "main"))
+    if articles:
+        best = articles[-1]
+    if articles and not any(x.tag == "main" for x in _path(best)):
+        beside = [c for c in best.parent.children if c is best or isinstance(c, Node) and c.tag == "article" and not _linked([c])]
+        if len(beside) == 1:
+            return best
+        best.parent.children = beside
+        return best.parent
+    top = mains[-1] if mains else root
+    while best is not top and best.parent is not None:
+        best.parent.children = _beside(best.parent, best)
         best = best.parent
     return best
 
@@ -284,8 +320,8 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", page
 
     Elements that are menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts or
     styles by their tag, class, id or role go first, but not by class or as a form where they hold the main
-    text (settle()); of the rest main_element() takes the subtree with the largest sum of text densities.
-    Character references are decoded, white space within a block becomes one
+    text (settle()); of the rest main_element() takes the text round the subtree with the largest sum of text
+    densities. Character references are decoded, white space within a block becomes one
     space, and blocks are joined by a line feed.
 
     A narrow job without a shuffle. A null or empty page has the empty text; null keys and urls stay null;
