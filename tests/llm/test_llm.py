@@ -263,6 +263,14 @@ def test_toxicity(spark):
     assert none < 0.01 and toxicity.detect_toxic(docs.limit(0), labels).count() == 0
 
 
+def test_long_tokens_are_decoded():
+    letters = toxicity.Letters.of(toxicity.letter_counts(["the stupid man saw a house by the river and walks slowly"] * 50))
+    for token in ("st" + "u" * 100 + "pid", ".".join("stupid") + "." * 60 + "man", "5" + "t" * 70 + "up1d"):
+        assert toxicity.Model(letters).restored(token) == toxicity.viterbi(token, letters) != token and toxicity.viterbi(token, letters).isalpha()
+    assert toxicity.viterbi("st" + "u" * 100 + "pid", letters) == "stupid"
+    assert len(toxicity.viterbi("a" + "*" * 50_000 + "b", letters)) < 50_002
+
+
 def test_toxicity_on_the_tables(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")

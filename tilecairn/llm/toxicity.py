@@ -94,11 +94,31 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+#: Characters of a token that are decoded at a time.
+PIECE = 64
+
+
 def viterbi(token: str, letters: Letters) -> str:
-    """The likeliest letters behind a token."""
+    """The likeliest letters behind a token. One of more than PIECE characters is decoded piece by piece, each
+    after the two letters that the one before ends with, so the work is linear."""
     border = 0
-    best: dict[tuple[int, int], tuple[float, str]] = {(border, border): (0.0, "")}
-    for choice in lattice(token):
+    choices, state, out = lattice(token), (border, border), []
+    known: dict = {}
+    for at in range(0, max(len(token), 1), PIECE):
+        last = at + PIECE >= len(token)
+        key = (token[max(at - 1, 0) : at + PIECE], at > 0, state, last)
+        if key not in known:
+            known[key] = _decoded(choices[at : at + PIECE], letters, state, last)
+        text, state = known[key]
+        out.append(text)
+    return "".join(out)
+
+
+def _decoded(choices: list, letters: Letters, state: tuple[int, int], last: bool) -> tuple[str, tuple[int, int]]:
+    """The likeliest letters of these places after two letters, and the two letters then; last: a border follows."""
+    border = 0
+    best: dict[tuple[int, int], tuple[float, str]] = {state: (0.0, "")}
+    for choice in choices:
         now: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (cost, text) in best.items():
             for x, extra in choice:
@@ -110,7 +130,8 @@ def viterbi(token: str, letters: Letters) -> str:
                 if state not in now or value < now[state]:
                     now[state] = value
         best = now
-    return min((cost + letters.cost[a, b, border], text) for (a, b), (cost, text) in best.items())[1]
+    _, text, state = min((cost + (letters.cost[a, b, border] if last else 0.0), text, (a, b)) for (a, b), (cost, text) in best.items())
+    return text, state
 
 
 def spelled(token: str, trie: dict) -> str | None:
@@ -170,7 +191,7 @@ class Model:
             odd = token.rstrip(TAIL).lstrip(HEAD)
             if LONG_RUN.search(odd) or ODD.search(odd):
                 start = spelled(odd, self.trie) if self.trie else None
-                decoded = viterbi(odd, self.letters) if len(odd) <= 64 else odd
+                decoded = viterbi(odd, self.letters)
                 return decoded if start is None or decoded.startswith(start) else start
         return plain
 
