@@ -271,6 +271,14 @@ def test_long_tokens_are_decoded():
     assert len(toxicity.viterbi("a" + "*" * 50_000 + "b", letters)) < 50_002
 
 
+def test_toxicity_within_runs_and_joined_tokens(spark):
+    docs, labels = toxic_tables(spark)
+    texts = ["such a s t u p i d man", "what a c a l m i d i o t he is", "he is t h e 1 d 1 0 t walks", "you see the.idiot walks", "you see the-m0r0n walks", "it is the.s.t.u.p.i.d people", "see a.s.t.u.p.i.d man", "a p l a i n r u n of letters", "a well-known river/valley, the.house"]
+    more = frame(spark, [(1000 + i, t) for i, t in enumerate(texts)])
+    out = got(toxicity.detect_toxic(docs.unionByName(more), labels))
+    assert [out[1000 + i].predicted for i in range(len(texts))] == [1] * 7 + [0] * 2
+
+
 def test_toxicity_on_the_tables(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")

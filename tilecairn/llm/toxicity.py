@@ -39,6 +39,8 @@ TAIL = " \t\n\r\x0b\x0c.,;:?!\"')]}>&%#*$|=/\\~^`+-_"
 HEAD = " \t\n\r\x0b\x0c.,;:?\"'([{<&%#*=/\\~^`+-_"
 #: Runs of three or more single characters with single spaces between them.
 SPACED = re.compile(r"(?<!\S)(?:[^\s] ){2,}[^\s](?!\S)")
+#: Marks that may join words.
+MARKS = re.compile(r"[.\-_*~,;:/\\|]+")
 LONG_RUN = re.compile(r"(.)\1\1")
 ODD = re.compile(r"[^\W\d_][^\W_]*[0-9@$!|+(<{€£¡§*#.\-_~][^\W_]|[0-9@$!|+(<{€£¡§][^\W\d_]|[^\W_][*#]+[^\W_]")
 
@@ -156,6 +158,47 @@ def spelled(token: str, trie: dict) -> str | None:
     return best and best[1]
 
 
+def inner(token: str, trie: dict) -> list[str]:
+    """Starts in the lexicon that the lattice of a token can spell from its second place or a later one: of a
+    place the longest of the least cost, each after the end of the one before."""
+    found, states = [], {}
+    for n, choice in enumerate(lattice(token.rstrip(TAIL).lstrip(HEAD))):
+        if n:
+            states[""] = (0.0, n, trie)
+        now: dict[str, tuple[float, int, dict]] = {}
+        for text, (cost, first, node) in states.items():
+            for x, extra in choice:
+                after = node if not x else node.get(x)
+                if after is None or not text + x:
+                    continue
+                value = cost + extra
+                if text + x not in now or value < now[text + x][0]:
+                    now[text + x] = (value, first, after)
+                if x and "" in after:
+                    found.append((first, value, -len(text + x), n + 1, text + x))
+        states = now
+    out, at = [], 0
+    for first, _, _, end, text in sorted(found):
+        if first >= at:
+            out.append(text)
+            at = end
+    return out
+
+
+def parts(token: str) -> list[tuple[str, bool]]:
+    """What stands between the marks of a token, and whether it is a run of single characters, which are
+    taken together, as they are of a token with spaces."""
+    if " " in token:
+        return [(token.replace(" ", ""), True)]
+    out: list[tuple[str, bool]] = []
+    for x in MARKS.split(token):
+        if len(x) == 1 and out and out[-1][1]:
+            out[-1] = (out[-1][0] + x, True)
+        elif x:
+            out.append((x, len(x) == 1))
+    return out
+
+
 #: Starts of words that are features, by letters, and counts of a feature in a text that are features too.
 STARTS, COUNTS = (4, 5, 6, 7), (2, 4)
 
@@ -196,8 +239,22 @@ class Model:
         return plain
 
     def features(self, token: str) -> tuple[str, ...]:
-        """Of a lower-case token: the word behind it and its starts."""
-        word = self.restored(token)
+        """Of a lower-case token: the word behind it and its starts; also of what stands between its marks, and
+        of what the lexicon has within a run of single characters."""
+        whole = self.word_features(self.restored(token.replace(" ", "")))
+        if " " not in token and not MARKS.search(token):
+            return whole
+        found, out = parts(token), list(whole)
+        for k, (part, run) in enumerate(found):
+            if len(found) > 1:
+                more = self.word_features(self.restored(part))
+                out += more if k else [f for f in more if f not in whole]
+            if run and self.trie:
+                out += [f for word in inner(part, self.trie) for f in self.word_features(word)]
+        return tuple(out)
+
+    @staticmethod
+    def word_features(word: str) -> tuple[str, ...]:
         return (word + " ", *(word[:n] for n in STARTS if len(word) >= n)) if len(word) > 2 else ()
 
     def hits(self, token: str) -> tuple[str, ...]:
@@ -227,10 +284,10 @@ def counted(words: Counter, features) -> list[str]:
 
 
 def tokens(text: str) -> list[str]:
-    """Lower-case tokens between white space; runs of single characters are one token more."""
+    """Lower-case tokens between white space; runs of single characters, with their spaces, are one token more."""
     low = text.lower()
     out = low.split()
-    return out + [m[0].replace(" ", "") for m in SPACED.finditer(low)] if SPACED.search(low) else out
+    return out + [m[0] for m in SPACED.finditer(low)] if SPACED.search(low) else out
 
 
 def group(found: list[str]) -> int:
