@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilecairn.llm.common import scratch_root
+from tilecairn.llm.common import Scratch, full_text, scratch_root
 from tilecairn.llm.jaccard_join import link_documents
 from tilecairn.llm.line_dedup import dedup_lines
 from tilecairn.llm.packing import pack
@@ -35,9 +35,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 or more of five-word shingles) stays, that with the smallest id."""
-    linked = link_documents(docs, width=5, percent=80).where("component_id < doc_id").select("doc_id")
-    return docs.select(COLUMNS).join(linked, "doc_id", "left_anti").select(COLUMNS)
+    """One document of each group of near copies (0.8 or more of five-word shingles) stays, that with the smallest id.
+
+    Rows are told apart by id and text: where an id comes with several texts, each is in the group of its
+    text, and of one group the text with the smallest hash stays. A null id is the largest, so such a row
+    stays where its group has no other. Of repeated rows (same id and text) one stays. A text without a
+    word is in no group and stays as often as it comes.
+    """
+    scratch = Scratch(spark)
+    linked = link_documents(docs, width=5, percent=80, marks=True).where("n_shingles > 0")
+    rows = linked.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_hash")).agg(F.first("first").alias("_first"), F.count("*").alias("_times"))
+    marked = scratch.cut(rows.where("not _first or _times > 1"))
+    base = docs.select(*COLUMNS, F.xxhash64(full_text("text")).alias("_row"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_hash"))
+    once = base.join(marked, same, "left_anti")
+    repeated = base.join(marked.where("_first"), same, "left_semi").dropDuplicates(["doc_id", "_row"])
+    return once.unionByName(repeated).select(COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -479,3 +479,12 @@ def test_pipeline_near_copies(spark, seed):
     kept = lambda width, percent: {i for i, (_, first) in brute_links(rows, width, percent).items() if i == first}
     out = p.jaccard_join(spark, frame(spark, rows, 4, extra=True), "")
     assert {r.doc_id for r in out.collect()} == kept(5, 80) < kept(3, 90)
+
+
+def test_pipeline_near_copies_of_repeated_and_null_ids(spark):
+    import corpus_pipeline as p
+
+    t, clean, alone = (" ".join(f"{c}{i}" for i in range(40)) for c in "tca")
+    rows = [(1, t), (2, t + " x"), (2, clean), (3, alone), (3, alone), (4, t), (4, t), (None, t), (None, clean + " y"), (None, "only here"), (None, "only here"), (5, ""), (5, ""), (None, None), (6, "z " + t), (6, t)]
+    out = [(r.doc_id, r.text) for r in p.jaccard_join(spark, frame(spark, rows, 4, extra=True), "").collect()]
+    assert sorted(out, key=str) == sorted([(1, t), (2, clean), (3, alone), (None, "only here"), (5, ""), (5, ""), (None, None)], key=str)

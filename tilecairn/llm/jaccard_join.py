@@ -185,8 +185,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(pick("a"), "a").join(pick("b"), "b").where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
-def link_documents(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: the key, n_shingles, class_id and component_id.
+def link_documents(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text", marks: bool = False) -> DataFrame:
+    """One row per row of docs: the key, n_shingles, class_id and component_id; with ``marks`` also row (the
+    hash of the text, which tells texts of one key apart) and first: whether the row has no set or is the
+    one of its component with the smallest key, and of that with the smallest row. Repeated rows have the
+    same mark.
 
     A document's set is its distinct ``width``-word shingles, A to Z lower-cased (with fewer words, the
     whole sequence as one). Two documents link when the Jaccard similarity of their sets is at least
@@ -232,13 +235,14 @@ def link_documents(docs: DataFrame, width: int = 3, percent: int = 90, key: str
     more = scratch.cut(_verified(pairs, sets.select("rep", "n", "tokens"), percent))
     if more.limit(1).count():
         component = connect(links.unionByName(more), scratch)
-    linked = named.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("owner", "other", F.col("doc").alias("class_id"), F.coalesce("component", "rep").alias("component"))
-    least = linked.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    known = scratch.cut(linked.join(least, "component").select("owner", "other", "class_id", "component_id"))
+    linked = named.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("owner", "other", F.col("doc").alias("class_id"), F.coalesce("component", "rep").alias("component"), *(["row"] if marks else []))
+    least = linked.groupBy("component").agg(F.min("class_id").alias("component_id"), *([F.min(F.struct("class_id", "row")).alias("least")] if marks else []))
+    known = scratch.cut(linked.join(least, "component").select("owner", "other", "class_id", "component_id", *(["least"] if marks else [])))
     end, kind = (1 << 63) - 1, docs.schema[key].dataType
     back = lambda c: F.when(F.col(c) != end, F.col(c)).cast(kind)
-    out = roster.join(known, ["owner", "other"], "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("component_id", "doc").alias("component_id"))
-    return out.select(back("doc").alias(key), "n_shingles", back("class_id").alias("class_id"), back("component_id").alias("component_id"))
+    more = ["row", F.coalesce((F.col("least.class_id") == F.col("doc")) & (F.col("least.row") == F.col("row")), F.lit(True)).alias("first")] if marks else []
+    out = roster.join(known, ["owner", "other"], "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("component_id", "doc").alias("component_id"), *more)
+    return out.select(back("doc").alias(key), "n_shingles", back("class_id").alias("class_id"), back("component_id").alias("component_id"), *(["row", "first"] if marks else []))
 
 
 def _open_pairs(shared: DataFrame, sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
