@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,13 @@ WORD = r"[^ \t\n\x0B\f\r]+"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder for scratch tables: under spark.checkpoint.dir; where that is unset, a new local one."""
+    """The folder for scratch tables: under spark.checkpoint.dir; where that is unset, a new local one if the
+    executors are threads of this machine, else an error, as no other machine could read it."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tilecairn-"))
         found = sc.getCheckpointDir()
     return found
@@ -61,6 +65,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def whole_numbers(docs: DataFrame, key: str) -> None:
+    """Raise where the key is not of an integer type."""
+    if docs.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"the key {key} must be of an integer type")
+
+
 def full_text(col: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -16,6 +16,9 @@ from tilecairn.llm.common import SPACES, Scratch, small_batches
 SPACE_BYTES = SPACES.encode()
 #: Bytes of a block of normalised text, and of text given out at a time.
 BLOCK, AT_ONCE = 8192, 4 << 20
+#: The name that an odd last block is paired with, and the first name, downwards, of blocks whose mark others
+#: share; all other names are 0 or more, so the three never meet.
+PAD, FIRST_SHARED = -1, -2
 
 
 def _blocks(text: str, size: int) -> tuple[bytes, list[bytes]]:
@@ -71,7 +74,7 @@ def name_documents(docs: DataFrame, scratch: Scratch, key: str, text: str, block
     Blocks: all distinct ones are sorted by a mark, a hash, and then by their bytes, and get integer
     names. Where a mark has one block only, which is known from that sort, the mark leads to the name;
     where several blocks share a mark, the bytes do. Then adjacent names are paired (an odd last one with
-    -1), distinct pairs are sorted and named, and so on until each document has one name, at the level
+    PAD, which names nothing), distinct pairs are sorted and named, and so on until each document has one name, at the level
     that its number of blocks gives.
     """
     source = docs.select(docs[key].alias("key"), F.coalesce(docs[text], F.lit("")).alias("text"))
@@ -84,7 +87,7 @@ def name_documents(docs: DataFrame, scratch: Scratch, key: str, text: str, block
     now = rows.select("rid", F.size("marks").alias("n"), F.posexplode("marks").alias("at", "mark"), "key", "text_sha256")
     if named.where("blocks > 1").limit(1).count():
         shared = named.where("blocks > 1").select("mark")
-        exact = scratch.cut(_numbered(contents.join(shared, "mark", "left_semi"), "mark", "block").select("mark", "block", (-1 - F.col("name")).alias("name")))
+        exact = scratch.cut(_numbered(contents.join(shared, "mark", "left_semi"), "mark", "block").select("mark", "block", (FIRST_SHARED - F.col("name")).alias("name")))
         placed = source.mapInArrow(partial(_contents, size=block_bytes, bits=mark_bits, places=True), "mark long, block binary, tag string, at int")
         placed = placed.join(exact, ["mark", "block"]).select("tag", "at", F.col("name").alias("exact")).dropDuplicates(["tag", "at"])
         now = now.withColumn("tag", F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("None")), "text_sha256")).join(placed, ["tag", "at"], "left")
@@ -92,14 +95,17 @@ def name_documents(docs: DataFrame, scratch: Scratch, key: str, text: str, block
     else:
         now = now.join(named.select("mark", "name"), "mark")
     now = scratch.cut(now.select("rid", "n", "at", "name"))
+    scratch.drop(named)
     level, done = 0, now.where("n = 1").select("rid", F.lit(0).alias("level"), "name")
     while now.where("n > 1").limit(1).count():
         level += 1
         side = lambda odd: F.max(F.when(F.col("at") % 2 == odd, F.col("name")))
-        pairs = now.where("n > 1").groupBy("rid", "n", F.floor(F.col("at") / 2).cast("int").alias("at")).agg(side(0).alias("left"), F.coalesce(side(1), F.lit(-1)).alias("right"))
+        pairs = now.where("n > 1").groupBy("rid", "n", F.floor(F.col("at") / 2).cast("int").alias("at")).agg(side(0).alias("left"), F.coalesce(side(1), F.lit(PAD)).alias("right"))
         pairs = scratch.cut(pairs)
         names = scratch.cut(_numbered(pairs.select("left", "right"), "left", "right"))
         now = scratch.cut(pairs.join(names, ["left", "right"]).select("rid", F.floor((F.col("n") + 1) / 2).cast("int").alias("n"), "at", "name"))
+        scratch.drop(pairs)
+        scratch.drop(names)
         done = done.union(now.where("n = 1").select("rid", F.lit(level).alias("level"), "name"))
     return scratch.cut(rows.drop("marks").join(done, "rid"))
 
