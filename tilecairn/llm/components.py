@@ -16,13 +16,15 @@ def connect(links: DataFrame, scratch: Scratch) -> DataFrame:
     many links has one row a task in them.
     """
     ends = scratch.cut(links.select(F.col("a").alias("node"), F.col("b").alias("near")).union(links.select(F.col("b").alias("node"), F.col("a").alias("near"))).where("node <> near").distinct())
-    labels = scratch.cut(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("component")))
+    labels = table = scratch.cut(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("component")))
     while True:
         around = ends.join(labels.select(F.col("node").alias("near"), "component"), "near").groupBy("node").agg(F.min("component").alias("least"))
         lower = labels.join(around, "node").select("node", F.least("component", "least").alias("component"), F.col("component").alias("old"))
         of = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
         moved = scratch.cut(lower.join(of, "component", "left").select("node", F.coalesce("next", "component").alias("component"), "old"))
         done = not moved.where("component <> old").limit(1).count()
-        labels = moved.select("node", "component")
+        scratch.drop(table)
+        labels, table = moved.select("node", "component"), moved
         if done:
+            scratch.drop(ends)
             return labels

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilecairn.llm.common import WORD, full_text, shuffle_partitions
+from tilecairn.llm.common import WORD, full_text, shuffle_partitions, whole_numbers
 
 #: Bins of the permutation, a power of two, and low-order bits kept of each; 8 bits are two hex digits.
 BIN_BITS, KEPT_BITS = 7, 8
@@ -123,8 +123,10 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     Texts are shuffled once, by ranges of the key. A null text is empty; the empty text has an empty
     fingerprint, like only to another empty one; a null key comes last; rows of one key follow each other
     by a hash of their text, and of repeated rows each is the next of another. A single row is its own
-    next. An empty table gives an empty table; further columns are not read.
+    next. An empty table gives an empty table; further columns are not read. A key that is not of an integer
+    type raises a TypeError.
     """
+    whole_numbers(docs, key)
     rows = docs.select(F.col(key).alias("_key"), full_text(text).alias("_text"), F.xxhash64(full_text(text)).alias("_tie"))
     marked = lambda df: df.withColumn("_values", fingerprint_bytes(shingle_hashes(F.col("_text"))))
     both = with_next(rows, "_key", "_tie", ["_text", "_values"], marked)

@@ -18,7 +18,10 @@ from tilecairn.llm.rolling import mixed
 BLOCK = 512
 #: Words of 64 bits in a parity sketch.
 SKETCH = 8
-SETS = "rep long, n long, unique long, tokens array<long>, sketch binary, keys array<long>, partial array<boolean>"
+SETS = "rep long, n long, unique long, tokens array<long>, alone binary, sketch binary, keys array<long>, partial array<boolean>"
+#: Members of a bucket outside its largest component up to which all are compared at once; a bucket with more is
+#: split by segments of its own, so many times at most.
+DIRECT, SPLITS = 16 * BLOCK, 2
 
 
 class Similarity:
@@ -76,13 +79,14 @@ class Similarity:
         return max(0, d + 1 - 2 * q) + q, q
 
 
-def segment_keys(tokens: np.ndarray, unique: np.ndarray, band: int, m: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set in the segmentation of a band, and which of them stand for a segment less one token.
+def segment_keys(tokens: np.ndarray, unique: np.ndarray, band: int, m: int, q: int, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set in the segmentation of a band, and which of them stand for a segment less one token. Each turn
+    has a segmentation of its own.
 
     A segment with a token that no other set holds can agree with none; in one with a neighbourhood, if
     there is one such token, only the neighbour without it is of use.
     """
-    salt = np.uint64((band + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    salt = np.uint64(((band + 1) * 0x9E3779B97F4A7C15 ^ turn * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF)
     spread = mixed(tokens ^ salt)
     segment = (spread % np.uint64(m)).astype(np.int64)
     value = mixed(spread ^ np.uint64(0x632BE59BD9B4E019))
@@ -106,7 +110,7 @@ def _sets(batches, width: int, buckets: int, percent: int):
     hasher, like = Hasher(width, fold=True), Similarity(percent)
     for big in batches:
         for batch in small_batches(big, 1024, AT_ONCE, 1):
-            reps, texts, given = (c.to_pylist() for c in batch.columns)
+            reps, texts, given = (c.to_pylist() for c in batch.columns[:3])
             rows = []
             for rep, (h, b), g in zip(reps, hasher.distinct(texts, buckets), given, strict=True):
                 unique = ~joined_bits(len(h), b, g)
@@ -114,10 +118,10 @@ def _sets(batches, width: int, buckets: int, percent: int):
                     continue
                 band = like.band(len(h))
                 found = [segment_keys(h, unique, k, *like.plan(k)) for k in (band, band - 1) if k >= 0]
-                rows.append((rep, len(h), int(unique.sum()), h.view(np.int64), sketch(h), np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])))
+                rows.append((rep, len(h), int(unique.sum()), h.view(np.int64), np.packbits(unique).tobytes(), sketch(h), np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])))
             if rows:
-                types = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_())]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["rep", "n", "unique", "tokens", "sketch", "keys", "partial"])
+                types = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["rep", "n", "unique", "tokens", "alone", "sketch", "keys", "partial"])
 
 
 _PLACED = ("key", "i", "j", "side", "rep", "partial", "component", "n", "unique", "sketch")
@@ -202,27 +206,28 @@ def link_documents(docs: DataFrame, width: int = 3, percent: int = 90, key: str
     2. The rest are cut into segments by a hash of the shingle, the number by size band, and write keys
        of their segments and one-deletion neighbourhoods as Similarity.plan() allocates them.
     3. In each bucket of a key all are compared with its smallest member; components follow.
-    4. Where a bucket still holds several components, its members meet in blocks, within a task, and the
-       pairs of different components that pass exact bounds (sizes, unique shingles, parity sketches) are
-       compared by whole sets.
-
-    A null or empty text has no set and its own key as component. A null key is the largest and comes
-    back as null. Repeated rows come back as often. An empty table gives an empty table; further columns
-    are not read.
+    4. Where a bucket still holds several components, those outside its largest one meet all members in
+       blocks, within a task, after a bucket with very many of them is split again (_open_pairs()). Pairs of
+       different components that pass exact bounds (sizes, unique shingles, parity sketches) are compared
+       by whole sets.
+
+    A null or empty text has no set and its own key as component. A null key ranks after the largest long and
+    comes back as null. Repeated rows come back as often. An empty table gives an empty table; further columns
+    are not read. A key that is not of an integer type raises a TypeError.
     """
     like, scratch = Similarity(percent), Scratch(docs.sparkSession)
     rows = keyed(docs, key, text)
     buckets = bucket_count(rows)
     found = scratch.cut(answers(rows, Hasher(width, fold=True), buckets, by_class=True))
     scratch.sweep()
-    roster = found.where(F.col("kind") == ROSTER).select("doc", "row", "n", "owner", "other")
-    classes = roster.where("n > 0").groupBy("owner", "other").agg(F.min(F.struct("doc", "row")).alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"))
-    bits = found.where(F.col("kind") != ROSTER).groupBy("owner", "other").agg(F.max("n").alias("shared"), F.flatten(F.collect_list("given")).alias("given"))
-    named = scratch.cut(classes.join(bits, ["owner", "other"], "left").select("owner", "other", F.col("rep.doc").alias("doc"), F.col("rep.row").alias("row"), F.monotonically_increasing_id().alias("rep"), "n", "copies", "given", "shared"))
-    widest = like.most_of(F.col("n"))
-    open_ = named.where(F.col("n") - F.col("shared") <= widest).select("doc", "row", "rep", "given")
-    sets = rows.join(open_, ["doc", "row"]).select("rep", "text", "given").mapInArrow(partial(_sets, width=width, buckets=buckets, percent=percent), SETS)
-    sets = scratch.cut(sets)
+    n, null = F.col("n"), F.col("n") < 0
+    roster = found.where(F.col("kind") == ROSTER).select("doc", "row", F.when(null, -1 - n).otherwise(n).alias("n"), null.alias("null"), "owner", "other")
+    classes = roster.where("n > 0").groupBy("owner", "other").agg(F.min(F.struct("doc", "null", "row")).alias("first"), F.first("n").alias("n"))
+    bits = found.where(F.col("kind") != ROSTER).groupBy("owner", "other").agg(F.max("n").alias("shared"), F.min_by("given", F.col("given")[0]["flush"]).alias("given"))
+    named = scratch.cut(classes.join(bits, ["owner", "other"], "left").select("owner", "other", "first", F.monotonically_increasing_id().alias("rep"), "n", "given", "shared"))
+    open_ = named.where(F.col("n") - F.col("shared") <= like.most_of(F.col("n"))).select(F.col("first.doc").alias("doc"), F.col("first.row").alias("row"), "rep", "given")
+    once = rows.join(open_, ["doc", "row"]).dropDuplicates(["doc", "row"])
+    sets = scratch.cut(once.select("rep", "text", "given").mapInArrow(partial(_sets, width=width, buckets=buckets, percent=percent), SETS))
     scratch.sweep()
     keys = sets.select("rep", F.explode(F.arrays_zip("keys", "partial")).alias("k")).select("rep", F.col("k.keys").alias("key"), F.col("k.partial").alias("partial")).groupBy("key", "rep").agg(F.min("partial").alias("partial"))
     counts = keys.groupBy("key").agg(F.count("*").alias("members"), F.min(F.when(~F.col("partial"), F.col("rep"))).alias("lead")).where("members > 1 and lead is not null")
@@ -231,30 +236,78 @@ def link_documents(docs: DataFrame, width: int = 3, percent: int = 90, key: str
     stars = shared.where("rep <> lead").select(*ends(F.col("rep"), F.col("lead"))).distinct()
     links = scratch.cut(_verified(stars, sets.select("rep", "n", "tokens"), percent))
     component = connect(links, scratch)
-    pairs = scratch.cut(_open_pairs(shared, sets, component, percent))
+    pairs = scratch.cut(_open_pairs(shared.select("key", "rep", "partial"), sets, component, percent, scratch))
     more = scratch.cut(_verified(pairs, sets.select("rep", "n", "tokens"), percent))
     if more.limit(1).count():
         component = connect(links.unionByName(more), scratch)
-    linked = named.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("owner", "other", F.col("doc").alias("class_id"), F.coalesce("component", "rep").alias("component"), *(["row"] if marks else []))
-    least = linked.groupBy("component").agg(F.min("class_id").alias("component_id"), *([F.min(F.struct("class_id", "row")).alias("least")] if marks else []))
-    known = scratch.cut(linked.join(least, "component").select("owner", "other", "class_id", "component_id", *(["least"] if marks else [])))
-    end, kind = (1 << 63) - 1, docs.schema[key].dataType
-    back = lambda c: F.when(F.col(c) != end, F.col(c)).cast(kind)
-    more = ["row", F.coalesce((F.col("least.class_id") == F.col("doc")) & (F.col("least.row") == F.col("row")), F.lit(True)).alias("first")] if marks else []
-    out = roster.join(known, ["owner", "other"], "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("component_id", "doc").alias("component_id"), *more)
-    return out.select(back("doc").alias(key), "n_shingles", back("class_id").alias("class_id"), back("component_id").alias("component_id"), *(["row", "first"] if marks else []))
-
-
-def _open_pairs(shared: DataFrame, sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and pass the bounds."""
-    named = shared.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "partial", "members", F.coalesce("component", "rep").alias("component"))
-    split = named.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-    split = split.where("_low < _high").select("key")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("long")
-    mine = F.pmod(F.xxhash64("rep"), blocks)
-    slots = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"), F.when(j == mine, 2).when(mine < j, 0).otherwise(1).alias("side")))
-    placed = named.join(split, "key").join(sets.select("rep", "n", "unique", "sketch"), "rep").select("key", "rep", "partial", "component", "n", "unique", "sketch", F.explode(slots).alias("slot"))
-    placed = placed.select("key", "slot.i", "slot.j", "slot.side", "rep", "partial", "component", "n", "unique", "sketch")
-
-    dealt = placed.select(*_PLACED).repartition(shuffle_partitions(shared.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(partial(_across, percent=percent), "a long, b long").distinct()
+    linked = named.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("owner", "other", F.col("first").alias("class"), F.coalesce("component", "rep").alias("component"))
+    least = linked.groupBy("component").agg(F.min("class").alias("least"))
+    known = scratch.cut(linked.join(least, "component").select("owner", "other", "class", "least"))
+    for table in (named, sets, shared, links, pairs, more):
+        scratch.drop(table)
+    kind, own = docs.schema[key].dataType, F.struct("doc", "null", "row")
+    back = lambda c: F.when(~c["null"], c["doc"]).cast(kind)
+    out = roster.join(known, ["owner", "other"], "left").select(own.alias("own"), "n", F.coalesce("class", own).alias("class"), F.coalesce("least", own).alias("least"))
+    first = [F.col("own.row").alias("row"), (F.col("least") == F.col("own")).alias("first")] if marks else []
+    return out.select(back(F.col("own")).alias(key), F.col("n").alias("n_shingles"), back(F.col("class")).alias("class_id"), back(F.col("least")).alias("component_id"), *first)
+
+
+def _split(batches, percent: int, turn: int):
+    """Rows key, rep, partial, component of sets in the buckets that a turn splits theirs into."""
+    like, last = Similarity(percent), np.uint64(turn)
+    for big in batches:
+        for batch in small_batches(big, 64, AT_ONCE, 4):
+            for rep, component, within, tokens, alone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h = np.array(tokens, np.int64).view(np.uint64)
+                unique = np.unpackbits(np.frombuffer(alone, np.uint8), count=len(h)).astype(bool)
+                band = like.band(len(h))
+                found = [segment_keys(h, unique, k, *like.plan(k), turn) for k in (band, band - 1) if k >= 0]
+                sub, less = (np.concatenate(x) for x in zip(*found, strict=True))
+                salts = mixed(np.array(within, np.int64).view(np.uint64) + last)
+                keys = mixed(sub.view(np.uint64)[None, :] ^ salts[:, None]).ravel().view(np.int64)
+                less = np.tile(less, len(salts))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), rep)), pa.array(less), pa.array(np.full(len(keys), component))], ["key", "rep", "partial", "component"])
+
+
+def _open_pairs(shared: DataFrame, sets: DataFrame, component: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of different components that share a key and pass the bounds.
+
+    Members of a bucket's largest component need not meet each other, so all its members meet those that are
+    apart from it. Where very many are apart, which sets do that agree in an empty or common segment by chance,
+    the bucket is split by a segmentation of its own, in which linked sets agree somewhere again: rows grow by
+    the number of segments, the chance falls by the share of a segment. What SPLITS turns leave is compared by
+    blocks whatever its size, so nothing is lost.
+    """
+    named = shared.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "partial", F.coalesce("component", "rep").alias("component"))
+    out = None
+    for turn in range(SPLITS + 1):
+        parts = named.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("top"))
+        open_ = parts.select("key", F.col("top.component").alias("top"), F.col("top.n").alias("most"), (F.col("members") - F.col("top.n")).alias("apart")).where("apart > 0")
+        here = scratch.cut(named.join(open_, "key"))
+        direct = here if turn == SPLITS else here.where(F.col("apart") <= DIRECT)
+        met = _met(direct, sets, percent)
+        out = met if out is None else out.unionByName(met)
+        if turn == SPLITS or not here.where(F.col("apart") > DIRECT).limit(1).count():
+            return out.distinct()
+        within = here.where(F.col("apart") > DIRECT).groupBy("rep", "component").agg(F.collect_set("key").alias("within"))  # of one set, which has few keys
+        dealt = within.join(sets.select("rep", "tokens", "alone"), "rep").select("rep", "component", "within", "tokens", "alone").repartition("rep")
+        named = dealt.mapInArrow(partial(_split, percent=percent, turn=turn + 1), "key long, rep long, partial boolean, component long").groupBy("key", "rep", "component").agg(F.min("partial").alias("partial"))
+        named = scratch.cut(named.select("key", "rep", "partial", "component"))
+
+
+def _placed(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members of open buckets (with top, most and apart) in all the pairs (i, j) of blocks that they are in.
+    Blocks of the largest component come after the others and do not meet each other."""
+    others, tops = (F.ceil(F.col(c) / BLOCK).cast("long") for c in ("apart", "most"))
+    of_top = F.col("component") == F.col("top")
+    mine = F.when(of_top, others + F.pmod(F.xxhash64("rep"), tops)).otherwise(F.pmod(F.xxhash64("rep"), others))
+    last = F.when(of_top, others - 1).otherwise(others + tops - 1)
+    slots = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"), F.when(j == mine, 2).when(mine < j, 0).otherwise(1).alias("side")))
+    placed = open_.join(sets.select("rep", "n", "unique", "sketch"), "rep").select("key", "rep", "partial", "component", "n", "unique", "sketch", F.explode(slots).alias("slot"))
+    return placed.select("key", "slot.i", "slot.j", "slot.side", "rep", "partial", "component", "n", "unique", "sketch")
+
+
+def _met(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in these buckets, by blocks within tasks."""
+    dealt = _placed(open_, sets).select(*_PLACED).repartition(shuffle_partitions(sets.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(partial(_across, percent=percent), "a long, b long")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilecairn.llm.common import full_text, shuffle_partitions, small_batches
+from tilecairn.llm.common import full_text, shuffle_partitions, small_batches, whole_numbers
 from tilecairn.llm.rolling import SIDE_BASE, mixed, window_hashes, word_hashes
 
 #: Postings gathered before a flush, bytes of text that a bucket's postings stand for at most on
@@ -37,8 +37,10 @@ _ANSWERS = pa.schema([("kind", pa.int32()), *((x, pa.int64()) for x in _LISTS),
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The columns doc (a null key is the largest long), row (a hash of the text) and text."""
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(full_text(text)).alias("row"), full_text(text).alias("text"))
+    """The columns doc (for a null key the largest long), row (a hash of the text), text and null (whether the
+    key is). Keys are of an integer type."""
+    whole_numbers(docs, key)
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(full_text(text)).alias("row"), full_text(text).alias("text"), F.col(key).isNull().alias("null"))
 
 
 def bucket_count(rows: DataFrame) -> int:
@@ -105,11 +107,11 @@ def _post(batches, hasher: Hasher, buckets: int, by_class: bool):
 
     for big in batches:
         for batch in small_batches(big, 4096, AT_ONCE, 2):
-            docs, rows, texts = (c.to_pylist() for c in batch.columns)
-            for doc, row, (h, b) in zip(docs, rows, hasher.distinct(texts, buckets), strict=True):
+            docs, rows, texts, nulls = (c.to_pylist() for c in batch.columns)
+            for doc, row, null, (h, b) in zip(docs, rows, nulls, hasher.distinct(texts, buckets), strict=True):
                 owner, other = class_of(h) if by_class else (doc, 0)
                 if by_class:
-                    roster.append((doc, row, owner, other, len(h)))
+                    roster.append((doc, row, owner, other, -1 - len(h) if null else len(h)))
                     if (owner, other) in seen:
                         continue
                     seen.add((owner, other))
@@ -221,7 +223,11 @@ def _assemble(table: pa.Table) -> pa.Table:
 
 def answers(rows: DataFrame, hasher: Hasher, buckets: int, by_class: bool = False) -> DataFrame:
     """Rows of ANSWERS for keyed() rows: bits of documents whose hash a smaller document also holds, or by
-    class, of those that another set holds too; then also a ROSTER row for each document."""
+    class, of those that another set holds too; then also a ROSTER row for each document, n being the size of
+    its set, or where the key is null -1 less that.
+
+    The answer that a flush gets tells all bits of its documents, whatever other flushes hold: of several answers
+    to one document (repeated rows) or class any one will do."""
     posts = rows.mapInArrow(partial(_post, hasher=hasher, buckets=buckets, by_class=by_class), POSTS)
     found = posts.repartitionById(buckets, F.col("bucket")).mapInArrow(partial(_answer, by_class=by_class), POSTS)
     return found.groupBy("flush").applyInArrow(_assemble, ANSWERS)
