@@ -461,7 +461,7 @@ def test_pipeline_stages(spark, tmp_path):
     numbered = [r for r in rows(a) if r[0] is not None]
     assert {i: t for i, t in rows(b) if i is not None} == {i: t for i, (_, _, t) in brute_lines(numbered).items()}
     c = p.jaccard_join(spark, b, d)
-    assert {i for i, _ in rows(c)} == {i for i, (_, first) in brute_links([r for r in rows(b) if r[0] is not None]).items() if i == first} | {i for i, _ in rows(b) if i is None}
+    assert {i for i, _ in rows(c)} == {i for i, (_, first) in brute_links([r for r in rows(b) if r[0] is not None], 5, 80).items() if i == first} | {i for i, _ in rows(b) if i is None}
     e = p.substring_dedup(spark, c, d)
     before, after = dict(rows(c)), dict(rows(e))
     assert after == {i: t if i in before and not n else t for i, t, n in ((i, k if n else before[i], n) for i, (_, n, k) in brute_passages([r for r in before.items() if r[0] is not None]).items())} | {i: t for i, t in after.items() if i is None}
