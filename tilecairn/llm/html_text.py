@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from functools import partial
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,49 +22,86 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that are never main text.
-DROPPED = frozenset("script style noscript template title textarea iframe object embed svg canvas math audio video head nav footer aside form button select input dialog menu xmp noembed noframes".split())
+DROPPED = frozenset("script style noscript template title textarea iframe object embed svg canvas audio video head nav footer aside button select input dialog menu xmp noembed noframes".split())
 #: Elements that an opening tag of the same row ends, up to a border.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Words of a class, id or role that mark what is not main text.
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:s|ed)?|promo(?:s|tion|tions)?|sidebars?|aside|menus?|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|replies|reply|respond|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscribe|subscription|signup|popup|modal|overlay|social|share|sharing|related|recommended|recommendations|widgets?|toolbar|pagination|pager|copyright|disclaimer|login|search|complementary|contentinfo|dialog)(?:$|[\s_-])",
-    re.I,
-)
+#: Words of a class, id or role that make an element suspect.
+WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising banner banners sponsor sponsors sponsored promo promos promotion promotions sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices alert alerts newsletter subscribe subscription signup popup modal overlay social share sharing related recommended recommendations widget widgets toolbar pagination pager copyright disclaimer login search complementary contentinfo dialog".split())
+#: The same for what readers wrote.
+COMMENT_WORDS = frozenset("comment comments commentlist commenters disqus reply replies respond response responses remark remarks discussion discussions feedback reaction reactions talkback guestbook".split())
+#: Words beside these that say what a page has or lacks, not what an element is.
+STATES = frozenset("no not non without has have with is enabled disabled ready".split())
+#: Words of a class or id that name the writer or the time of an entry.
+BYLINE = frozenset("author user username nickname nick avatar byline date time timestamp datetime posted permalink poster commenter".split())
 HEADING = re.compile("h[1-6]")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 
 
-#: What becomes of an element: it may stay, goes unless the main text is in it, goes if it has its own end
-#: (else its extent is not known and it counts as the one before), goes in any case.
-STAYS, MAY_GO, GOES_CLOSED, GOES = 0, 1, 2, 3
+#: What becomes of an element: it may stay, goes unless the densities say that the main text is in it, is what readers
+#: wrote unless an article is in it, goes if it has its own end (else its extent is not known and it counts as
+#: the second), goes in any case.
+STAYS, MAY_GO, COMMENTS, GOES_CLOSED, GOES = range(5)
 
 
 class Node:
-    __slots__ = ("children", "chars", "density", "fate", "hinted", "link_chars", "link_tags", "parent", "tag", "tags")
+    __slots__ = ("byline", "chars", "children", "density", "fate", "kind", "link_chars", "link_tags", "parent", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, fate: int = STAYS, hinted: bool = False):
-        self.tag, self.parent, self.children, self.fate, self.hinted = tag, parent, [], fate, hinted
+    def __init__(self, tag: str, parent: Node | None, fate: int = STAYS, kind: str = "", byline: bool = False):
+        self.tag, self.parent, self.children, self.fate, self.kind, self.byline = tag, parent, [], fate, kind, byline
 
 
-def _fate(tag: str, attributes: str, inside: bool) -> tuple[int, bool]:
-    """What becomes of an element, and whether its class, id or role has a hint; inside: it is within an article or main."""
-    if tag == "form":
-        fate = MAY_GO
-    elif tag in DROPPED or tag == "header" and not inside:
-        fate = GOES_CLOSED
-    else:
-        fate = STAYS
+class Open:
+    """The elements that are open, root first, with their places by tag, so that none of the questions below walks up
+    to the root: a page of any depth is parsed in linear time."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element with one of these tags; 0 without any."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def first_beyond(self, tags: set[str], place: int) -> int:
+        """The place of the outermost one beyond a place; 0 without any."""
+        found = [p[i] for t in tags if (p := self.places.get(t)) and (i := bisect_right(p, place)) < len(p)]
+        return min(found, default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def end(self, place: int) -> None:
+        """End the element at a place and all within."""
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+
+
+def _words(text: str) -> list[list[str]]:
+    """The words of each of the names in a class, id or role."""
+    return [[w.lower() for w in PARTS.findall(name)] for name in text.split()]
+
+
+def _fate(tag: str, attributes: str, inside: bool) -> tuple[int, str, bool]:
+    """What becomes of an element, its class, and whether it names a writer or a time; inside: it is within an article or
+    main. Only whole words of names count, and none of a name that tells a state, such as no-sidebar."""
+    fate = MAY_GO if tag == "form" else GOES_CLOSED if tag in DROPPED or tag == "header" and not inside else STAYS
     if not attributes or tag in ("html", "body", "main"):
-        return fate, False
+        return fate, "", tag == "time"
     found = {}
     for name, *values in ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), "".join(values))
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or HIDDEN.search(found.get("style", "")):
-        return GOES, False
-    if fate != STAYS or tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "a", "b", "i", "em", "strong", "span"):
-        return fate, False
-    hinted = any(HINT.search(found[x]) for x in ("class", "id", "role", "aria-label") if x in found and found[x])
-    return (MAY_GO if hinted and tag != "article" else STAYS), hinted
+        return GOES, "", False
+    names = [n for x in ("class", "id", "role", "aria-label") if found.get(x) for n in _words(found[x])]
+    byline = tag == "time" or any(w in BYLINE for n in names for w in n) or found.get("rel", "") == "author"
+    if fate == STAYS and not HEADING.fullmatch(tag) and tag not in ("p", "a", "b", "i", "em", "strong", "span"):
+        plain = [n for n in names if STATES.isdisjoint(n)]
+        if any(w in COMMENT_WORDS for n in plain for w in n):
+            fate = COMMENTS
+        elif tag != "article" and any(w in WORDS for n in plain for w in n):
+            fate = MAY_GO
+    return fate, found.get("class", "").split(" ")[0], byline
 
 
 def parse(page: str) -> Node:
@@ -75,11 +112,12 @@ def parse(page: str) -> Node:
     parsed like the others and go afterwards (settle()).
     """
     root = Node("#root", None)
-    at, start = root, 0
+    opened, start = Open(root), 0
+    stack = opened.stack
     find = MARKUP.search
     while m := find(page, start):
         if m.start() > start:
-            at.children.append(page[start : m.start()])
+            stack[-1].children.append(page[start : m.start()])
         start = m.end()
         closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
@@ -90,44 +128,28 @@ def parse(page: str) -> Node:
             start = end.end() if end else len(page)
             continue
         if closing:
-            x = at
-            while x is not root and x.tag != tag:
-                x = x.parent
-            if x is not root:
-                if x.fate == GOES_CLOSED:
-                    x.fate = GOES
-                at = x.parent
+            if place := opened.last(tag):
+                if stack[place].fate == GOES_CLOSED:
+                    stack[place].fate = GOES
+                opened.end(place)
             continue
-        if tag in BLOCKS:
-            x = at
-            while x is not root and x.tag not in ("p", "table", "td", "th", "button", "html"):
-                x = x.parent
-            if x.tag == "p":
-                at = x.parent
+        if tag in BLOCKS and (place := opened.last("p")) > opened.last("table", "td", "th", "button", "html"):
+            opened.end(place)
         if tag in ENDS:
             ends, border = ENDS[tag]
-            x = at
-            last = None
-            while x is not root and x.tag not in border:
-                if x.tag in ends:
-                    last = x
-                x = x.parent
-            if last is not None:
-                at = last.parent
-        inside, x = False, at
-        while tag == "header" and x is not root and not inside:
-            inside, x = x.tag in ("article", "main"), x.parent
-        fate, hinted = (STAYS, False) if tag in VOID else _fate(tag, attributes, inside)
+            if place := opened.first_beyond(ends, opened.last(*border)):
+                opened.end(place)
+        fate, kind, byline = (STAYS, "", False) if tag in VOID else _fate(tag, attributes, tag == "header" and opened.last("article", "main") > 0)
         if fate != STAYS and attributes.endswith("/"):
             continue
-        if tag in ("html", "body") and any(c for c in _path(at) if c.tag == tag):
+        if tag in ("html", "body") and opened.last(tag):
             continue
-        node = Node(tag, at, fate, hinted)
-        at.children.append(node)
+        node = Node(tag, stack[-1], fate, kind, byline)
+        stack[-1].children.append(node)
         if tag not in VOID and not (attributes.endswith("/") and tag not in BLOCKS):
-            at = node
+            opened.push(node)
     if start < len(page):
-        at.children.append(page[start:])
+        stack[-1].children.append(page[start:])
     return settle(root)
 
 
@@ -140,39 +162,89 @@ def _without(node: Node, goes) -> None:
         todo += [c for c in x.children if isinstance(c, Node)]
 
 
+def _plain(node: Node) -> int:
+    """Characters outside links."""
+    return node.chars - node.link_chars
+
+
 def settle(root: Node) -> Node:
     """Take out the elements that are not main text.
 
-    One that goes by its class, id or role, a form, or one without an end of its own stays where the main
-    text is in it, and the densities decide: if articles or main are only within such elements, those round
-    the least nested ones; and those with most of the page's text outside links, if they hold an article
-    or main without a hint or there is none elsewhere.
+    What readers wrote goes first (see _mark_comments()). Of the other suspects (by class, id or role, forms,
+    and unwanted elements without an end of their own) the densities decide: one stays that holds the seed() of
+    the whole tree or most of its text outside links, if it holds an article or main or there is none elsewhere;
+    and where articles or main are only within suspects, those round the least nested ones stay.
     """
     _without(root, lambda c: c.fate == GOES)
-    if not any(x.fate for x in _ordered(root)):
-        return root
     nodes = measure(root)
+    _mark_comments(root, nodes)
+    if not any(x.fate for x in nodes):
+        return root
+    articles = [x for x in nodes if x.tag in ("article", "main") and x.chars and x.fate != COMMENTS]
+    holding = _above(articles)
+    if any(x.fate == COMMENTS for x in nodes):
+        written = sum(_plain(x) for x in nodes if x.fate == COMMENTS and id(x) not in holding)
+        if _plain(root) > written or articles:
+            _without(root, lambda c: c.fate == COMMENTS and id(c) not in holding)
+        nodes = measure(root)
     depth: dict[int, int] = {}
     for x in nodes:
         depth[id(x)] = (depth[id(x.parent)] if x.parent else 0) + (x.fate != STAYS)
-    texts = [x for x in nodes if x.tag in ("article", "main") and x.chars]
-    least = min((depth[id(x)] for x in texts), default=0)
-    stay: set[int] = set()
-    for x in texts:
-        if depth[id(x)] == least > 0:
-            stay.update(id(y) for y in _path(x))
-    plain: set[int] = set()
-    for x in texts:
-        if not x.hinted:
-            plain.update(id(y) for y in _path(x))
-    half = (root.chars - root.link_chars) / 2
+    kept = {id(x) for x in nodes}
+    articles = [x for x in articles if id(x) in kept]
+    least = min((depth[id(x)] for x in articles), default=0)
+    stay = _above([x for x in articles if depth[id(x)] == least > 0])
+    of_seed, half = _above([seed(nodes)]), _plain(root) / 2
     for x in nodes:
-        if x.fate != STAYS and x.chars - x.link_chars > half and (id(x) in plain or not texts or least > 0):
+        if x.fate != STAYS and (id(x) in of_seed or _plain(x) > half) and (id(x) in holding or not articles or least > 0):
             stay.add(id(x))
     _without(root, lambda c: c.fate != STAYS and id(c) not in stay)
     return root
 
 
+def _above(found: list[Node]) -> set[int]:
+    """These elements and all that hold them."""
+    out: set[int] = set()
+    for x in found:
+        while x is not None and id(x) not in out:
+            out.add(id(x))
+            x = x.parent
+    return out
+
+
+def _mark_comments(root: Node, nodes: list[Node]) -> None:
+    """Mark as COMMENTS what readers wrote without a class that says so: articles within an article, and two or more
+    siblings of one kind with a writer or a time each. They are that only beside some text that is not
+    theirs, half of what one of them has on average at least; a list of entries alone is the main text."""
+    signed: set[int] = set()
+    for x in reversed(nodes):
+        if x.byline and x.parent is not None or id(x) in signed:
+            signed.add(id(x))
+            signed.add(id(x.parent))
+    groups: dict[tuple, list[Node]] = {}
+    within: dict[int, Node | None] = {}
+    for x in nodes:
+        above = within[id(x.parent)] if x.parent else None
+        within[id(x)] = x if x.tag == "article" and above is None else above
+        if x.fate != STAYS or not _plain(x):
+            continue
+        if x.tag == "article" and above is not None:
+            groups.setdefault(("article", id(above)), []).append(x)
+        elif id(x) in signed and x.tag in ("div", "li", "section", "article", "dd", "blockquote", "tr"):
+            groups.setdefault((x.tag, x.kind, id(x.parent)), []).append(x)
+    outer = {id(x): x for x in within.values() if x is not None}
+    for key, group in groups.items():
+        nested = key[0] == "article" and len(key) == 2
+        if not nested and len(group) < 2:
+            continue
+        theirs = sum(_plain(x) for x in group)
+        held = outer[key[1]] if nested else root
+        titles = sum(_plain(x) for x in _ordered(held) if HEADING.fullmatch(x.tag)) if nested else 0
+        if 2 * (_plain(held) - titles - theirs) >= theirs / len(group):
+            for x in group:
+                x.fate = COMMENTS
+
+
 def _path(node: Node) -> list[Node]:
     out = []
     while node is not None:
@@ -216,6 +288,20 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def density_sum(node: Node) -> float:
+    """The sum of the densities of an element's children."""
+    return sum(c.density for c in node.children if isinstance(c, Node))
+
+
+def seed(nodes: list[Node]) -> Node:
+    """Of measured elements, those outside first, the one with the largest sum; of several the innermost."""
+    best, most = nodes[0], -1.0
+    for x in nodes:
+        if (total := density_sum(x)) >= most:
+            best, most = x, total
+    return best
+
+
 def _linked(units: list) -> bool:
     """Whether most of the text of these texts and elements is links; headings and rules are not asked."""
     if any(isinstance(c, Node) and HEADING.fullmatch(c.tag) for c in units):
@@ -230,17 +316,17 @@ def _linked(units: list) -> bool:
     return 2 * links > chars
 
 
-def _beside(parent: Node, kept: Node) -> list:
-    """The children of an element without those that are mostly links; text and elements in the flow count together."""
+def _beside(parent: Node, kept: Node, stays) -> list:
+    """The children of an element that stay beside the one kept; text and elements in the flow count together."""
     out, run = [], []
     for c in [*parent.children, None]:
         if isinstance(c, str) or isinstance(c, Node) and c is not kept and c.tag not in BLOCKS:
             run.append(c)
             continue
-        if run and not _linked(run):
+        if run and stays(run):
             out += run
         run = []
-        if c is not None and (c is kept or not _linked([c])):
+        if c is not None and (c is kept or stays([c])):
             out.append(c)
     return out
 
@@ -248,29 +334,28 @@ def _beside(parent: Node, kept: Node) -> list:
 def main_element(root: Node) -> Node:
     """The subtree with the main text; of the tree, what goes is taken out.
 
-    Of all elements the one with the largest sum of its children's densities is the seed. Within main the
-    choice widens to that, within an article alone to the outermost one and the articles beside it,
-    elsewhere to the whole body, so that headings, lists and short sections beside the densest one stay.
-    What lies beside the way up goes if it is mostly links, unless it is within an article.
+    The element with the largest sum of its children's densities is the seed, and the least density on the way
+    from the body to it the threshold. Up to the outermost main round the seed, or article, or, without both, the
+    body, what lies beside the way stays unless it is mostly links, so that headings, lists and short
+    sections do not get lost. Beyond that border an element stays only if its density reaches the
+    threshold and its text half of what the seed has, or if it is an article beside the article.
     """
     nodes = measure(root)
-    total = lambda n: sum(c.density for c in n.children if isinstance(c, Node))
-    best = max(nodes, key=total)
-    if not total(best):
+    best = seed(nodes)
+    if not density_sum(best):
         return root
     way = _path(best)
-    articles, mains = ([x for x in way if x.tag == tag] for tag in ("article", "main"))
-    if articles:
-        best = articles[-1]
-    if articles and not any(x.tag == "main" for x in _path(best)):
-        beside = [c for c in best.parent.children if c is best or isinstance(c, Node) and c.tag == "article" and not _linked([c])]
-        if len(beside) == 1:
-            return best
-        best.parent.children = beside
-        return best.parent
-    top = mains[-1] if mains else root
-    while best is not top and best.parent is not None:
-        best.parent.children = _beside(best.parent, best)
+    threshold = min((x.density for x in way if x.tag not in ("html", "#root")), default=0.0)
+    least = _plain(best) / 2
+    borders = [x for tag in ("main", "article") for x in reversed(way) if x.tag == tag]
+    border = borders[0] if borders else root
+    inside = lambda units: not _linked(units)
+    beyond = lambda units: len(units) == 1 and isinstance(units[0], Node) and inside(units) and (border.tag == units[0].tag == "article" or units[0].density >= threshold and _plain(units[0]) >= least)
+    stays = inside
+    while best.parent is not None:
+        if best is border:
+            stays = beyond
+        best.parent.children = _beside(best.parent, best, stays)
         best = best.parent
     return best
 
@@ -318,10 +403,11 @@ def _extract(batches):
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """One row per row of pages: the key, url, text and n_chars (code points).
 
-    Elements that are menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts or
-    styles by their tag, class, id or role go first, but not by class or as a form where they hold the main
-    text (settle()); of the rest main_element() takes the text round the subtree with the largest sum of text
-    densities. Character references are decoded, white space within a block becomes one
+    Every element has a composite text density. Menus, headers, footers, sidebars, notices, adverts, forms, scripts
+    and styles go, but what is one of them by its class, id or role only, or is a form, stays where the densities
+    say that the main text is in it; what readers wrote goes, also where only its form tells (settle()). Of
+    the rest main_element() takes the text round the subtree with the largest sum of densities. Parsing takes
+    time in proportion to the page, however deep it is. Character references are decoded, white space within a block becomes one
     space, and blocks are joined by a line feed.
 
     A narrow job without a shuffle. A null or empty page has the empty text; null keys and urls stay null;
