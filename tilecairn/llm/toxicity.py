@@ -23,8 +23,9 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâäçèéêëíîïñóôöùúûü
 MASKS, MASKED = "*#", "abcdefghijklmnopqrstuvwxyz"
 #: Marks that may stand between the letters of a word.
 BETWEEN = ".-_*~"
-#: Costs of the channel, in nats: a letter for itself, for another character, for a mask, one of a run.
-PLAIN, STANDS, MASK, SQUEEZE = 0.0, 1.0, 1.5, 0.5
+#: Costs of the channel, in nats: a letter for itself, for another character, for a mask, one of a run of three or
+#: more, the second of two, a border of words where none is written.
+PLAIN, STANDS, MASK, SQUEEZE, DOUBLE, BORDER = 0.0, 1.0, 1.5, 0.5, 3.0, 0.0
 
 _INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
 SIZE = len(LETTERS) + 1
@@ -41,7 +42,7 @@ HEAD = " \t\n\r\x0b\x0c.,;:?\"'([{<&%#*=/\\~^`+-_"
 SPACED = re.compile(r"(?<!\S)(?:[^\s] ){2,}[^\s](?!\S)")
 #: Marks that may join words.
 MARKS = re.compile(r"[.\-_*~,;:/\\|]+")
-LONG_RUN = re.compile(r"(.)\1\1")
+LONG_RUN, REPEATED = re.compile(r"(.)\1\1"), re.compile(r"(.)\1")
 ODD = re.compile(r"[^\W\d_][^\W_]*[0-9@$!|+(<{€£¡§*#.\-_~][^\W_]|[0-9@$!|+(<{€£¡§][^\W\d_]|[^\W_][*#]+[^\W_]")
 
 
@@ -70,29 +71,31 @@ class Letters:
         return cls(-np.log((c + 4 * p2) / (c.sum(2, keepdims=True) + 4)))
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each place of a token the letters it may stand for ("" for none) and their costs: leetspeak, masks,
-    marks between letters, and runs, of which all but the first or second may be noise."""
+def lattice(token: str, run: bool = False) -> list[list[tuple[str, float]]]:
+    """For each place of a token what it may stand for ("" for nothing, a space for a border of words) and the costs:
+    leetspeak, masks, marks between letters or words, and runs, of which all but the first may be noise. In a
+    run of single characters, which were written with spaces, any of them may begin a word."""
     out: list[list[tuple[str, float]]] = []
     for i, c in enumerate(token):
-        repeated = i and token[i - 1] == c
+        repeated = i > 0 and token[i - 1] == c
+        noise = SQUEEZE if repeated and (token[i - 2 : i - 1] == c or token[i + 1 : i + 2] == c) else DOUBLE
         if c in _INDEX:
             choice = [(c, PLAIN)]
-            if repeated:
-                choice.append(("", SQUEEZE))
         elif c in LEET:
             choice = [(x, STANDS + 0.3 * k) for k, x in enumerate(LEET[c])]
-            if repeated:
-                choice.append(("", SQUEEZE))
         elif c in MASKS:
-            choice = [(x, MASK) for x in MASKED] + [("", STANDS)]
-        elif c in BETWEEN:
-            choice = [("", STANDS)]
+            choice = [(x, MASK) for x in MASKED]
         else:
-            choice = [("", 2 * MASK)]
-        if c in BETWEEN and ("", STANDS) not in choice:
+            choice, repeated = [], False
+        if run and i:
+            choice += [(" " + x, cost + BORDER) for x, cost in choice]
+        if repeated and c not in MASKS:
+            choice.append(("", noise))
+        if c in MASKS or c in BETWEEN:
             choice.append(("", STANDS))
-        out.append(choice)
+        if c in BETWEEN:
+            choice.append((" ", STANDS + BORDER))
+        out.append(choice or [("", 2 * MASK)])
     return out
 
 
@@ -100,15 +103,15 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 PIECE = 64
 
 
-def viterbi(token: str, letters: Letters) -> str:
-    """The likeliest letters behind a token. One of more than PIECE characters is decoded piece by piece, each
-    after the two letters that the one before ends with, so the work is linear."""
+def viterbi(token: str, letters: Letters, run: bool = False) -> str:
+    """The likeliest letters behind a token, with spaces where words begin. One of more than PIECE characters is
+    decoded piece by piece, each after the two letters that the one before ends with, so the work is linear."""
     border = 0
-    choices, state, out = lattice(token), (border, border), []
+    choices, state, out = lattice(token, run), (border, border), []
     known: dict = {}
     for at in range(0, max(len(token), 1), PIECE):
         last = at + PIECE >= len(token)
-        key = (token[max(at - 1, 0) : at + PIECE], at > 0, state, last)
+        key = (token[max(at - 2, 0) : at + PIECE + 1], min(at, 2), state, last)
         if key not in known:
             known[key] = _decoded(choices[at : at + PIECE], letters, state, last)
         text, state = known[key]
@@ -124,13 +127,14 @@ def _decoded(choices: list, letters: Letters, state: tuple[int, int], last: bool
         now: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (cost, text) in best.items():
             for x, extra in choice:
-                if x:
-                    i = _INDEX[x]
-                    state, value = (b, i), (cost + extra + letters.cost[a, b, i], text + x)
-                else:
-                    state, value = (a, b), (cost + extra, text)
-                if state not in now or value < now[state]:
-                    now[state] = value
+                at, total = (a, b), cost + extra
+                for c in x:
+                    i = _INDEX.get(c, border)
+                    total += letters.cost[at[0], at[1], i]
+                    at = (at[1], i)
+                value = (total, text + x)
+                if at not in now or value < now[at]:
+                    now[at] = value
         best = now
     _, text, state = min((cost + (letters.cost[a, b, border] if last else 0.0), text, (a, b)) for (a, b), (cost, text) in best.items())
     return text, state
@@ -144,6 +148,8 @@ def spelled(token: str, trie: dict) -> str | None:
         now: dict[str, tuple[float, dict]] = {}
         for text, (cost, node) in states.items():
             for x, extra in choice:
+                if x == " ":
+                    continue
                 after = node if not x else node.get(x)
                 if after is None:
                     continue
@@ -168,6 +174,8 @@ def inner(token: str, trie: dict) -> list[str]:
         now: dict[str, tuple[float, int, dict]] = {}
         for text, (cost, first, node) in states.items():
             for x, extra in choice:
+                if x == " ":
+                    continue
                 after = node if not x else node.get(x)
                 if after is None or not text + x:
                     continue
@@ -227,32 +235,43 @@ class Model:
             node[""] = True
         self.known: dict[str, tuple[str, ...]] = {}
 
-    def restored(self, token: str) -> str:
-        """The word behind a token: as it stands, or decoded where something in it isn't a letter or is a run."""
+    def restored(self, token: str, run: bool = False) -> str:
+        """The words behind a token by viterbi(): as it stands, if it has but letters of which none is doubled, which is
+        all that its lattice has then, or has no letter. run: it is a run of single characters."""
         plain = token.strip(EDGE)
-        if LONG_RUN.search(plain) or not plain.isalpha():
-            odd = token.rstrip(TAIL).lstrip(HEAD)
-            if LONG_RUN.search(odd) or ODD.search(odd):
-                start = spelled(odd, self.trie) if self.trie else None
-                decoded = viterbi(odd, self.letters)
-                return decoded if start is None or decoded.startswith(start) else start
-        return plain
+        if plain.isalpha() and not run and not REPEATED.search(plain):
+            return plain
+        odd = token.rstrip(TAIL).lstrip(HEAD)
+        if not any(c in _INDEX for c in odd):
+            return plain
+        return viterbi(odd, self.letters, run)
 
     def features(self, token: str) -> tuple[str, ...]:
-        """Of a lower-case token: the word behind it and its starts; also of what stands between its marks, and
-        of what the lexicon has within a run of single characters."""
-        whole = self.word_features(self.restored(token.replace(" ", "")))
-        if " " not in token and not MARKS.search(token):
-            return whole
-        found, out = parts(token), list(whole)
+        """Of a lower-case token: the words behind it and their starts, also of what stands between its marks. Beside
+        what was decoded, starts in the lexicon that the lattice can spell count too."""
+        glued = " " in token
+        letters = token.replace(" ", "")
+        out = self.decoded_features(letters, glued)
+        if not glued and not MARKS.search(token):
+            return tuple(out)
+        found = parts(token)
         for k, (part, run) in enumerate(found):
             if len(found) > 1:
-                more = self.word_features(self.restored(part))
-                out += more if k else [f for f in more if f not in whole]
+                more = self.decoded_features(part, run)
+                out += more if k else [f for f in more if f not in out]
             if run and self.trie:
-                out += [f for word in inner(part, self.trie) for f in self.word_features(word)]
+                out += [f for word in inner(part, self.trie) for f in self.word_features(word) if f not in out]
         return tuple(out)
 
+    def decoded_features(self, token: str, run: bool) -> list[str]:
+        words = self.restored(token, run).split(" ")
+        out = [f for w in words for f in self.word_features(w)]
+        odd = token.rstrip(TAIL).lstrip(HEAD)
+        if self.trie and (LONG_RUN.search(odd) or ODD.search(odd)):
+            start = spelled(odd, self.trie)
+            out += [f for f in self.word_features(start or "") if f not in out]
+        return out
+
     @staticmethod
     def word_features(word: str) -> tuple[str, ...]:
         return (word + " ", *(word[:n] for n in STARTS if len(word) >= n)) if len(word) > 2 else ()
