@@ -73,7 +73,7 @@ class Letters:
 
 def lattice(token: str, run: bool = False) -> list[list[tuple[str, float]]]:
     """For each place of a token what it may stand for ("" for nothing, a space for a border of words) and the costs:
-    leetspeak, masks, marks between letters or words, and runs, of which all but the first may be noise. In a
+    leetspeak, masks, marks between letters, a single one also between words, and runs, of which all but the first may be noise. In a
     run of single characters, which were written with spaces, any of them may begin a word."""
     out: list[list[tuple[str, float]]] = []
     for i, c in enumerate(token):
@@ -93,7 +93,7 @@ def lattice(token: str, run: bool = False) -> list[list[tuple[str, float]]]:
             choice.append(("", noise))
         if c in MASKS or c in BETWEEN:
             choice.append(("", STANDS))
-        if c in BETWEEN:
+        if c in BETWEEN and c not in (token[i - 1 : i], token[i + 1 : i + 2]):
             choice.append((" ", STANDS + BORDER))
         out.append(choice or [("", 2 * MASK)])
     return out
