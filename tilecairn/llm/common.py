@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 #: Regular expression of a word: a longest run of other characters.
 WORD = r"[^ \t\n\x0B\f\r]+"
+#: Rows of an Arrow batch while a scratch table is written.
+ARROW_ROWS = 1000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -42,10 +44,17 @@ class Scratch:
         self.fs.deleteOnExit(path)
 
     def cut(self, df: DataFrame) -> DataFrame:
-        """Write df and return a frame that reads it; the shuffle files behind df can then go."""
+        """Write df and return a frame that reads it; the shuffle files behind df can then go. Rows go to Python in
+        batches of ARROW_ROWS meanwhile, as those with texts or sets are large, and a batch is held on both sides."""
         self.n += 1
         path = f"{self.root}/t{self.n}"
-        df.write.parquet(path)
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, min(int(before), ARROW_ROWS) if int(before) > 0 else ARROW_ROWS)
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(name, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
