@@ -6,7 +6,6 @@ The SQL works from the source tables alone; it never sees a blob, so equal resul
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +20,7 @@ from tilecairn.functions import stats as st
 from tilecairn.functions.geometry import box_area, parse_wkt
 from tilecairn.operators import checks, convert, export, layout, pyramid, zonal
 from tilecairn.plans.ranges import in_zoom, intersects
+from tilecairn.plans.scratch import new_folder
 from tilecairn.sources import metadata as meta_
 from tilecairn.sources import tables
 
@@ -593,18 +593,7 @@ _WRITTEN: dict[tuple[int, str], str] = {}
 
 def _folder(spark: SparkSession) -> str:
     """A new folder for a table, under the shared folder of the session."""
-    import uuid
-
-    sc = spark.sparkContext
-    root = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tilecairn-"))
-        root = sc.getCheckpointDir()
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/table-{uuid.uuid4().hex}")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(path)
-    fs.deleteOnExit(path)
-    return f"{root}/{path.getName()}/t"
+    return new_folder(spark) + "/t"
 
 
 def _written(spark: SparkSession, d: str) -> str:

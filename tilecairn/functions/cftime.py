@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Units and their singulars, calendars that agree with the Gregorian one for timestamps,
-# forms of the reference date in the order in which they are tried, and durations by unit and interval.
+# Units and their singulars, calendars that agree with the Gregorian one for timestamps, and
+# durations by unit and interval.
 UNITS = {"second": "seconds", "minute": "minutes", "hour": "hours", "day": "days", "month": "months", "year": "years"}
 GREGORIAN = ("standard", "gregorian", "proleptic_gregorian")
-FORMS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd", "yyyyMMdd")
+#: Reference dates: a day with or without a time, or eight digits.
+REFERENCES = (r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[ T](\d{1,2}):(\d{1,2})(?::(\d{1,2}))?)?$", r"^(\d{4})(\d{2})(\d{2})$")
 SECONDS = {"seconds": 1, "minutes": 60, "hours": 3600, "days": 86400}
 DURATIONS = {
     "minutes": {1: "PT1M", 60: "PT1H", 1440: "P1D", 43200: "P1M", 44640: "P1M"},
@@ -31,9 +32,12 @@ def parse_units(units: Column) -> Column:
     unit = F.lower(F.regexp_extract(text, r"^(\w+)\s+(?i:since)\s+(.+)$", 1))
     date = F.trim(F.regexp_replace(F.regexp_extract(text, r"^(\w+)\s+(?i:since)\s+(.+)$", 2), r"(\.\d+)?\s*(Z|UTC)?$", ""))
     plural = F.coalesce(*(F.when(unit.isin(one, many), F.lit(many)) for one, many in UNITS.items()))
-    patterns = (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}$", r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$", r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}$", r"^\d{4}-\d{1,2}-\d{1,2}$", r"^\d{8}$")
-    short = lambda form: form.replace("MM-dd", "M-d").replace("HH:mm:ss", "H:m:s").replace("HH:mm", "H:m")
-    reference = F.coalesce(*(F.when(date.rlike(p), F.try_to_timestamp(date, F.lit(short(f)))) for p, f in zip(patterns, FORMS, strict=True))).cast("timestamp_ntz")
+    stamps = []
+    for form, parts in zip(REFERENCES, (6, 3), strict=True):
+        part = [F.regexp_extract(date, form, i + 1).try_cast("int") for i in range(parts)]
+        clock = [F.coalesce(c, F.lit(0)) for c in (part[3:] or [F.lit(0)] * 3)]
+        stamps.append(F.when(date.rlike(form), F.try_make_timestamp_ntz(*part[:3], *clock)))
+    reference = F.coalesce(*stamps)
     return F.when(plural.isNotNull() & reference.isNotNull(), F.struct(plural.alias("unit"), reference.alias("reference")))
 
 
@@ -57,13 +61,14 @@ def band_time(items: Column) -> Column:
 def to_timestamp(value: Column, unit: Column, reference: Column, calendar: Column | None = None) -> Column:
     """The time of a value on an axis. Seconds to days are added exactly, to the microsecond; months and years
     by the calendar with the day of the month kept. Null for an unknown unit, another calendar than the
-    Gregorian, and a day that the month lacks."""
+    Gregorian, and a day that the month lacks. Everything is without a zone, so the session's zone has no say."""
     factor = F.coalesce(*(F.when(unit == u, F.lit(s)) for u, s in SECONDS.items()))
-    exact = F.timestamp_micros((F.unix_micros(reference.cast("timestamp")) + F.round(value * factor * 1_000_000)).cast("long")).cast("timestamp_ntz")
-    whole = F.when(unit == "years", value.cast("int") * 12).otherwise(value.cast("int"))
+    micros = F.round(value * factor * 1_000_000).try_cast("long")
+    exact = reference + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (micros.cast("decimal(20,0)") / 1_000_000).try_cast("decimal(18,6)"))
+    whole = F.when(unit == "years", value.try_cast("int") * 12).otherwise(value.try_cast("int"))
     total = F.year(reference) * 12 + F.month(reference) - 1 + whole
     moved = F.add_months(F.to_date(reference), whole)
-    stamp = F.timestamp_micros((F.unix_micros(moved.cast("timestamp")) + F.unix_micros(reference.cast("timestamp")) - F.unix_micros(F.to_date(reference).cast("timestamp"))).cast("long")).cast("timestamp_ntz")
+    stamp = moved.cast("timestamp_ntz") + (reference - F.to_date(reference).cast("timestamp_ntz"))
     known = F.day(moved) == F.day(reference)
     out = F.when(unit.isin(*SECONDS), exact).when(unit.isin("months", "years") & known & (total >= 12), stamp)
     return out if calendar is None else F.when(is_gregorian(calendar), out)

@@ -6,14 +6,14 @@ the points. A tile that only touches an area is outside it. Areas across the ant
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
-from tilecairn.functions.cells import cell_of, descendant_range
-from tilecairn.functions.mercator import tile_at, tile_box
+from tilecairn.functions.cells import BASE, ZOOM_BITS
+from tilecairn.functions.mercator import tile_at
 
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
@@ -30,22 +30,27 @@ class Area:
         lon, lat = zip(*points, strict=True)
         return min(lon), min(lat), max(lon), max(lat)
 
-    @property
-    def edges(self) -> list[np.ndarray]:
-        """Of each polygon its edges as rows x0, y0, x1, y1."""
-        return [np.array([(*a, *b) for ring in polygon for a, b in zip(ring, ring[1:] + ring[:1], strict=True) if a != b]) for polygon in self.polygons]
+    @cached_property
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """All edges as rows x0, y0, x1, y1, and the number of the polygon of each."""
+        rows = [(*a, *b, i) for i, polygon in enumerate(self.polygons) for ring in polygon for a, b in zip(ring, ring[1:] + ring[:1], strict=True) if a != b]
+        table = np.array(rows, float).reshape(-1, 5)
+        return table[:, :4], table[:, 4].astype(int)
 
     def holds(self, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
         """Whether points lie within."""
-        inside = np.zeros(np.broadcast(lon, lat).shape, bool)
-        for edges in self.edges:
-            odd = np.zeros(inside.shape, bool)
-            for x0, y0, x1, y1 in edges:
-                if y0 != y1:
-                    crosses = (y0 > lat) != (y1 > lat)
-                    odd ^= crosses & (lon < x0 + (lat - y0) * (x1 - x0) / (y1 - y0))
-            inside |= odd
-        return inside
+        shape = np.broadcast(lon, lat).shape
+        lon, lat = (np.broadcast_to(v, shape).ravel() for v in (lon, lat))
+        edges, polygon = self.edges
+        inside = np.zeros(len(lon), bool)
+        step = max(1, (1 << 22) // max(1, len(edges)))
+        for i in range(len(self.polygons)):
+            x0, y0, x1, y1 = (c[:, None] for c in edges[(polygon == i) & (edges[:, 1] != edges[:, 3])].T)
+            for at in range(0, len(lon), step):
+                x, y = lon[at : at + step], lat[at : at + step]
+                odd = (((y0 > y) != (y1 > y)) & (x < x0 + (y - y0) * (x1 - x0) / (y1 - y0))).sum(axis=0) % 2 == 1
+                inside[at : at + step] |= odd
+        return inside.reshape(shape)
 
 
 def box_area(w: float, s: float, e: float, n: float) -> Area:
@@ -87,14 +92,13 @@ def parse_point(text: str) -> tuple[float, float]:
 def relation(area: Area, box: tuple[float, float, float, float]) -> str:
     """How a box of degrees lies to an area: "inside", "outside" or "boundary"."""
     w, s, e, n = box
-    for edges in area.edges:
-        if len(edges) and _enters(edges, w, s, e, n).any():
-            return "boundary"
+    if _enters(area.edges[0], w, s, e, n).any():
+        return "boundary"
     return "inside" if area.holds(np.array((w + e) / 2), np.array((s + n) / 2)) else "outside"
 
 
-def _enters(edges: np.ndarray, w: float, s: float, e: float, n: float) -> np.ndarray:
-    """Whether edges pass through the open box (clipped line by line)."""
+def _enters(edges: np.ndarray, w, s, e, n) -> np.ndarray:
+    """Whether edges pass through open boxes (one for all or one each; clipped line by line)."""
     x0, y0, x1, y1 = edges.T
     dx, dy = x1 - x0, y1 - y0
     low, high = np.zeros(len(edges)), np.ones(len(edges))
@@ -109,39 +113,64 @@ def _enters(edges: np.ndarray, w: float, s: float, e: float, n: float) -> np.nda
     return ok & (low < high)
 
 
-@dataclass(frozen=True)
 class Cover:
-    """The cells of one zoom that an area meets, as ranges of ids: (first, last, wholly inside)."""
+    """The cells of one zoom that an area meets, as sorted ranges of ids: first, last, and whether wholly inside. A range
+    is that of one tile's descendants, from the least id that any could have; single cells on the boundary are
+    both ends."""
+
+    def __init__(self, zoom: int, first: np.ndarray, last: np.ndarray, inside: np.ndarray):
+        order = np.argsort(first)
+        self.zoom, self.first, self.last, self.inside = zoom, first[order], last[order], inside[order]
+
+    @property
+    def ranges(self) -> list[tuple[int, int, bool]]:
+        return list(zip(self.first.tolist(), self.last.tolist(), self.inside.tolist(), strict=True))
+
+    def part(self, inside: bool) -> Cover:
+        """The ranges wholly inside, or the others."""
+        at = self.inside == inside
+        return Cover(self.zoom, self.first[at], self.last[at], self.inside[at])
 
-    zoom: int
-    ranges: tuple[tuple[int, int, bool], ...]
+    def place(self, ids: np.ndarray) -> np.ndarray:
+        """Of each id of the zoom the place of its range; -1 where it is in none."""
+        if not len(self.first):
+            return np.full(len(ids), -1)
+        at = np.searchsorted(self.first, ids, side="right") - 1
+        return np.where((at >= 0) & (ids <= self.last[np.maximum(at, 0)]), at, -1)
 
     def merged(self, most: int = 32) -> list[tuple[int, int]]:
         """At most so many ranges that hold all of them; the smallest gaps are closed first."""
-        spans = []
-        for a, b, _ in sorted(self.ranges):
-            if spans and a <= spans[-1][1] + (1 << (52 - 2 * self.zoom)):
-                spans[-1][1] = max(b, spans[-1][1])
-            else:
-                spans.append([a, b])
-        while len(spans) > most:
-            gaps = sorted(range(1, len(spans)), key=lambda i: spans[i][0] - spans[i - 1][1])
-            close = set(gaps[: len(spans) - most])
-            out = []
-            for i, span in enumerate(spans):
-                if i in close:
-                    out[-1][1] = span[1]
-                else:
-                    out.append(span)
-            spans = out
-        return [(a, b) for a, b in spans]
-
-
-def cover(area: Area, zoom: int, mode: str = "intersects", most: int = 1 << 20) -> Cover:
+        if not len(self.first):
+            return []
+        gaps = self.first[1:] - self.last[:-1]
+        apart = np.flatnonzero(gaps > 1 << (52 - 2 * self.zoom))
+        if len(apart) >= most:
+            apart = np.sort(apart[np.argsort(-gaps[apart], kind="stable")[: most - 1]])
+        starts, ends = np.concatenate([[0], apart + 1]), np.concatenate([apart, [len(self.first) - 1]])
+        return list(zip(self.first[starts].tolist(), self.last[ends].tolist(), strict=True))
+
+
+def _cells(x: np.ndarray, y: np.ndarray, z: int) -> np.ndarray:
+    """Cell ids of tiles."""
+    code = np.zeros(len(x), np.int64)
+    for i in range(z):
+        code |= (x >> i & 1) << 2 * i | (y >> i & 1) << 2 * i + 1
+    return BASE | z << 52 | code << (52 - 2 * z) | (1 << (52 - 2 * z)) - 1
+
+
+def _boxes(x: np.ndarray, y: np.ndarray, z: int) -> tuple[np.ndarray, ...]:
+    """West, south, east and north of tiles in degrees."""
+    n = 1 << z
+    lat = lambda v: np.degrees(np.arctan(np.sinh(np.pi * (1 - 2 * v / n))))
+    return x / n * 360 - 180, lat(y + 1), (x + 1) / n * 360 - 180, lat(y)
+
+
+def cover(area: Area, zoom: int, mode: str = "intersects") -> Cover:
     """The cells at a zoom that an area meets (intersects), holds wholly (contains) or by their centre (center).
 
-    From the smallest tile around the area down: a tile wholly inside is one range of descendants, one that
-    the boundary passes is split. ``most`` bounds the ranges, beyond which this raises.
+    From the smallest tile around the area down, level by level: a tile wholly inside is one range of
+    descendants, one that the boundary passes is split, and only the edges that pass a tile are tried on its
+    children, so a level takes time in proportion to the tiles on the boundary.
     """
     if mode not in ("intersects", "contains", "center"):
         raise ValueError(f"unknown mode {mode}")
@@ -151,28 +180,47 @@ def cover(area: Area, zoom: int, mode: str = "intersects", most: int = 1 << 20)
     x1, y1 = tile_at(e, s, zoom)
     while z and (x0 != x1 or y0 != y1):
         x0, y0, x1, y1, z = x0 >> 1, y0 >> 1, x1 >> 1, y1 >> 1, z - 1
-    todo, out = [(x0, y0, z)], []
-    while todo:
-        x, y, z = todo.pop()
-        box = tile_box(x, y, z)
-        how = relation(area, box)
-        if how == "outside":
-            continue
-        if how == "inside":
-            out.append((*descendant_range(x, y, z, zoom), True))
-        elif z < zoom:
-            todo += [(2 * x + i, 2 * y + j, z + 1) for i in (0, 1) for j in (0, 1)]
-        elif mode == "intersects" or mode == "center" and area.holds(np.array((box[0] + box[2]) / 2), np.array(_middle(y, z))):
-            cell = cell_of(x, y, z)
-            out.append((cell, cell, False))
-        if len(out) > most:
-            raise ValueError(f"over {most} ranges; take a smaller zoom")
-    return Cover(zoom, tuple(sorted(out)))
-
-
-def _middle(y: int, z: int) -> float:
-    """Latitude of the middle of a row of tiles, in Mercator."""
-    return math.degrees(math.atan(math.sinh(math.pi * (1 - (2 * y + 1) / (1 << z)))))
+    edges = area.edges[0]
+    x, y = np.array([x0], np.int64), np.array([y0], np.int64)
+    tile, edge = np.zeros(len(edges), int), np.arange(len(edges))  # pairs of a tile and an edge that may pass it
+    first, last, inside = [], [], []
+
+    def take(cells: np.ndarray, ends: np.ndarray, within: bool) -> None:
+        first.append(cells)
+        last.append(ends)
+        inside.append(np.full(len(cells), within))
+
+    while len(x):
+        box = _boxes(x, y, z)
+        passes = _enters(edges[edge], *(c[tile] for c in box))
+        tile, edge = tile[passes], edge[passes]
+        crossed = np.zeros(len(x), bool)
+        crossed[tile] = True
+        free = np.flatnonzero(~crossed)
+        middle = area.holds((box[0][free] + box[2][free]) / 2, (box[1][free] + box[3][free]) / 2)
+        found = free[middle]
+        cells, low = _cells(x[found], y[found], z), (1 << (52 - 2 * z)) - 1
+        start = cells & ~ZOOM_BITS & ~low | zoom << 52
+        take(start, start | low, True)
+        if z == zoom:
+            on = np.flatnonzero(crossed)
+            if mode == "center":
+                on = on[area.holds((box[0][on] + box[2][on]) / 2, _middle(y[on], z))]
+            if mode != "contains":
+                take(_cells(x[on], y[on], z), _cells(x[on], y[on], z), False)
+            break
+        on = np.flatnonzero(crossed)
+        place = np.cumsum(crossed) - 1
+        corner = np.arange(4)
+        x, y = (2 * x[on, None] + corner % 2).ravel(), (2 * y[on, None] + corner // 2).ravel()
+        tile, edge = (4 * place[tile][:, None] + corner).ravel(), np.repeat(edge, 4)
+        z += 1
+    return Cover(zoom, *(np.concatenate(c) for c in (first, last, inside)))
+
+
+def _middle(y: np.ndarray, z: int) -> np.ndarray:
+    """Latitudes of the middles of rows of tiles, in Mercator."""
+    return np.degrees(np.arctan(np.sinh(np.pi * (1 - (2 * y + 1) / (1 << z)))))
 
 
 def auto_zoom(area: Area, least: int, most: int, tiles: int = 64) -> int:

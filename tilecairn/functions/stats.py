@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tilecairn.functions.pixels import decode, valid, without_outliers
 
 STATS = "struct<count:bigint,sum:double,mean:double,min:double,max:double,stddev:double,sum_squares:double>"
+FIELDS = ("count", "sum", "mean", "min", "max", "stddev", "sum_squares")
 NAMES = ("count", "min", "max", "sum", "mean", "stddev")
 
 
@@ -43,7 +44,7 @@ def summary_udf(kind: str, nodata=None, compression: str | None = None, outliers
 
 def frame(rows: list[dict | None]) -> pd.DataFrame:
     """Rows of STATS; None has null in every field."""
-    none = dict.fromkeys(("count", "sum", "mean", "min", "max", "stddev", "sum_squares"))
+    none = dict.fromkeys(FIELDS)
     out = pd.DataFrame([r or none for r in rows], columns=list(none))
     out["count"] = out["count"].astype("Int64")
     return out

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilecairn.functions.cells import cell_x, cell_y, parent, resolution
-from tilecairn.functions.pixels import decode, encode, valid
+from tilecairn.functions.pixels import TYPES, decode, encode, valid
+from tilecairn.plans.scratch import cut
 
 
 def _quantile(q: float) -> Callable:
@@ -90,8 +91,9 @@ def _blank(kind: str, nodata) -> float:
 def overview(tiles: DataFrame, bands: list[str], kind: str, size: int, zoom: int, how: str = "average", nodata=None, compression: str | None = "gzip") -> DataFrame:
     """The tiles of ``zoom`` from those of the zoom below it, four pixels to one, ignoring nodata.
 
-    Each tile is halved where it is, so that a quarter of its pixels travels; a parent then gathers its four
-    quarters, which are few whatever the table holds. Other columns than bands and time are left out.
+    Each tile is halved where it is, so that a quarter of its pixels travels, in the band's type, with a bit for
+    each that has a value, and deflated; a parent then gathers its four quarters, which are few whatever the
+    table holds. Other columns than bands and time are left out.
     """
     by = ["block", "time_cf"] if "time_cf" in tiles.columns else ["block"]
     names = [f"_{i}" for i in range(len(bands))]
@@ -99,7 +101,7 @@ def overview(tiles: DataFrame, bands: list[str], kind: str, size: int, zoom: int
     @F.pandas_udf("binary")
     def half(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
-            yield s.map(lambda b: None if b is None else _quarter(b, kind, size, how, nodata).tobytes())
+            yield s.map(lambda b: None if b is None else _quarter(b, kind, size, how, nodata))
 
     place = (cell_y(F.col("block")) % 2 * 2 + cell_x(F.col("block")) % 2).cast("int")
     quarters = tiles.select(parent(F.col("block"), zoom).alias("block"), *by[1:], place.alias("_place"), *(half(b).alias(n) for b, n in zip(bands, names, strict=True)))
@@ -113,10 +115,25 @@ def overview(tiles: DataFrame, bands: list[str], kind: str, size: int, zoom: int
     return gathered.select(*by, *(join(n).alias(b) for b, n in zip(bands, names, strict=True)))
 
 
-def _quarter(blob: bytes, kind: str, size: int, how: str, nodata) -> np.ndarray:
+def _sent(values: np.ndarray, kind: str) -> bytes:
+    """Doubles, NaN without a value, as deflated bits of those that have one and their pixels."""
+    good = ~np.isnan(values)
+    pixels = values[good] if kind[0] == "f" else np.rint(values[good])
+    return zlib.compress(np.packbits(good).tobytes() + pixels.astype(TYPES[kind]).tobytes(), 1)
+
+
+def _received(data: bytes, kind: str, n: int) -> np.ndarray:
+    raw = zlib.decompress(data)
+    good = np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8)), count=n).astype(bool)
+    out = np.full(n, np.nan)
+    out[good] = np.frombuffer(raw, TYPES[kind], offset=-(-n // 8))
+    return out
+
+
+def _quarter(blob: bytes, kind: str, size: int, how: str, nodata) -> bytes:
     raw = decode(blob, kind)
     values = np.where(valid(raw, nodata), raw.astype("f8"), np.nan).reshape(size, size)
-    return halved(values, how)
+    return _sent(halved(values, how).ravel(), kind)
 
 
 def _joined(quarters, kind: str, size: int, nodata, compression: str | None) -> bytes | None:
@@ -125,20 +142,23 @@ def _joined(quarters, kind: str, size: int, nodata, compression: str | None) ->
     for q in quarters:
         if q["v"] is not None:
             y, x = divmod(int(q["_place"]), 2)
-            out[y * h : y * h + h, x * h : x * h + h] = np.frombuffer(q["v"], "f8").reshape(h, h)
+            out[y * h : y * h + h, x * h : x * h + h] = _received(q["v"], kind, h * h).reshape(h, h)
     if np.isnan(out).all():
         return None
-    blank = _blank(kind, nodata)
-    filled = np.where(np.isnan(out), blank, out)
-    return encode(filled if kind[0] == "f" else np.rint(filled), kind, compression)
+    return encode(np.where(np.isnan(out), _blank(kind, nodata), out), kind, compression)
 
 
-def pyramid(tiles: DataFrame, bands: list[str], kind: str, size: int, most_zoom: int, least_zoom: int, how: str = "average", nodata=None, compression: str | None = "gzip") -> DataFrame:
-    """The tiles of most_zoom and all overviews down to least_zoom, level from level."""
+def pyramid(tiles: DataFrame, bands: list[str], kind: str, size: int, most_zoom: int, least_zoom: int, how: str = "average", nodata=None, compression: str | None = "gzip", own: dict[int, DataFrame] | None = None) -> DataFrame:
+    """The tiles of most_zoom and all overviews down to least_zoom, level from level.
+
+    Each level is written once (under the shared folder) and read for the next one and for the result, so none
+    is made twice and a lost executor costs one level's tasks. ``own`` holds levels that come from elsewhere,
+    such as overviews of the source.
+    """
     kept = ["block", *(["time_cf"] if "time_cf" in tiles.columns else []), *bands]
-    out = level = tiles.select(*kept)
+    out = level = cut(tiles.select(*kept)) if most_zoom > least_zoom else tiles.select(*kept)
     for z in range(most_zoom - 1, least_zoom - 1, -1):
-        level = overview(level, bands, kind, size, z, how, nodata, compression)
+        level = cut((own or {})[z].select(*kept) if z in (own or {}) else overview(level, bands, kind, size, z, how, nodata, compression))
         out = out.unionByName(level)
     return out
 
@@ -162,30 +182,35 @@ def hillslope(tiles: DataFrame, band: str, kind: str, size: int, pixel_metres: f
         for s in parts:
             yield s.map(lambda b: [None] * 9 if b is None else _edges(b, kind, size, nodata))
 
-    read = tiles.select("block", edges(band).alias("_e"))
-    sent = read.select("block", cell_x(F.col("block")).alias("_x"), cell_y(F.col("block")).alias("_y"), z.alias("_z"), "_e")
-    offers = F.array(*(F.struct(F.lit(i).alias("i"), (F.col("_x") + dx).alias("x"), (F.col("_y") + dy).alias("y"), F.get("_e", F.lit(i)).alias("v")) for i, (dx, dy) in enumerate(moves)))
+    read = tiles.select("block", F.col(band).alias("_own"), edges(band).alias("_e"))
+    sent = read.select("block", cell_x(F.col("block")).alias("_x"), cell_y(F.col("block")).alias("_y"), z.alias("_z"), "_own", "_e")
+    offer = lambda i, dx, dy: F.struct(F.lit(i).alias("i"), (F.col("_x") + dx).alias("x"), (F.col("_y") + dy).alias("y"), (F.col("_own") if i == 4 else F.get("_e", F.lit(i))).alias("v"))
+    offers = F.array(*(offer(i, dx, dy) for i, (dx, dy) in enumerate(moves)))
     given = sent.select("_z", F.explode(offers).alias("o")).where("o.x >= 0 and o.y >= 0 and o.v is not null").select(tile_to_cell(F.col("o.x"), F.col("o.y"), F.col("_z")).alias("block"), "o.i", "o.v")
 
     @F.pandas_udf("binary")
     def slope(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
-            yield s.map(lambda given: _slope(given, size, pixel_metres, compression))
+            yield s.map(lambda given: _slope(given, kind, size, pixel_metres, nodata, compression))
 
     return given.groupBy("block").agg(F.collect_list(F.struct("i", "v")).alias("_g")).where(F.exists("_g", lambda g: g["i"] == 4)).select("block", slope("_g").alias("slope"))
 
 
-def _edges(blob: bytes, kind: str, size: int, nodata) -> list[bytes]:
-    """What a tile sends to the tile dx, dy away: itself, a border, or a corner."""
+def _doubles(blob: bytes, kind: str, size: int, nodata) -> np.ndarray:
     raw = decode(blob, kind)
-    v = np.where(valid(raw, nodata), raw.astype("f8"), np.nan).reshape(size, size)
+    return np.where(valid(raw, nodata), raw.astype("f8"), np.nan).reshape(size, size)
+
+
+def _edges(blob: bytes, kind: str, size: int, nodata) -> list[bytes | None]:
+    """What a tile sends to the tile dx, dy away: a border or a corner. Itself it sends as it is stored."""
+    v = _doubles(blob, kind, size, nodata)
     pick = {-1: slice(0, 1), 0: slice(None), 1: slice(size - 1, size)}
-    return [v[pick[dy], pick[dx]].tobytes() for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    return [_sent(v[pick[dy], pick[dx]].ravel(), kind) if dx or dy else None for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
 
 
-def _slope(given, size: int, metres: float, compression: str | None) -> bytes:
-    parts = {int(g["i"]): np.frombuffer(g["v"], "f8") for g in given}
-    wide = np.pad(parts[4].reshape(size, size), 1, mode="edge")
+def _slope(given, kind: str, size: int, metres: float, nodata, compression: str | None) -> bytes:
+    parts = {int(g["i"]): _doubles(g["v"], kind, size, nodata) if g["i"] == 4 else _received(g["v"], kind, 1 if g["i"] in (0, 2, 6, 8) else size) for g in given}
+    wide = np.pad(parts[4], 1, mode="edge")
     place = {-1: slice(size + 1, size + 2), 0: slice(1, size + 1), 1: slice(0, 1)}  # what comes from dx = -1 is the right border
     for i, v in parts.items():
         if i != 4:
@@ -205,5 +230,3 @@ def _slope(given, size: int, metres: float, compression: str | None) -> bytes:
     dy = ((g + 2 * h + i) - (a + 2 * b + c)) / (8 * metres)
     return encode(np.degrees(np.arctan(np.hypot(dx, dy))), "float32", compression)
 
-
-BLOBS = pa.list_(pa.binary())

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tilecairn.functions.cells import ZOOM_BITS, parent, zoom_range
+from tilecairn.functions.cells import zoom_range
 from tilecairn.functions.geometry import Area, Cover, cover
 
 #: Ranges that one predicate holds at most.
@@ -29,18 +30,22 @@ def in_ranges(block: Column, ranges: list[tuple[int, int]]) -> Column:
 
 
 def in_cover(block: Column, found: Cover, most: int = MOST_RANGES) -> Column:
-    """Whether an id is in a cover: a few wide ranges for the reader, and where those were closed over gaps, also
-    the exact test, whether an ancestor of the id is one of the whole cells that the cover consists of."""
+    """Whether an id is in a cover: a few wide ranges for the reader, and where those were closed over gaps, also the
+    exact test. That is a search in the sorted ranges, done in Arrow batches of ids, so that the plan stays
+    small however many ranges there are."""
     wide = found.merged(most)
     test = in_ranges(block, wide)
-    if len(wide) == len(found.merged(1 << 30)):
-        return test
-    by_zoom: dict[int, list[int]] = {}
-    for first, last, _ in found.ranges:
-        z = found.zoom if first == last else found.zoom - ((last - first + 1 >> 52 - 2 * found.zoom).bit_length() - 1) // 2
-        low = (1 << (52 - 2 * z)) - 1
-        by_zoom.setdefault(z, []).append(first & ~ZOOM_BITS & ~low | z << 52 | low)
-    return test & reduce(lambda p, q: p | q, [parent(block, z).isin(found_) for z, found_ in sorted(by_zoom.items())])
+    return test if len(wide) == len(found.merged(1 << 30)) else test & found_udf(found)(block)
+
+
+def found_udf(found: Cover):
+    """A function of an id that says whether it is in a cover."""
+
+    @F.pandas_udf("boolean")
+    def run(ids: pd.Series) -> pd.Series:
+        return pd.Series(found.place(ids.to_numpy()) >= 0)
+
+    return run
 
 
 def intersects(block: Column, area: Area, zoom: int, mode: str = "intersects") -> Column:

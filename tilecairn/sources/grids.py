@@ -2,45 +2,20 @@
 
 from __future__ import annotations
 
-import struct
-import zlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector, FileType
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-PIXELS = "lon double, lat double, value double"
-
+from tilecairn.sources.rasters import _directories, _tiff_image, grid_index, open_at, open_image
 
-def grid_header(lines: list[str]) -> tuple[dict[str, float], int]:
-    """The fields of an ASCII grid's header, and how many lines it has."""
-    out: dict[str, float] = {}
-    for i, line in enumerate(lines):
-        parts = line.split()
-        if len(parts) != 2 or not parts[0][0].isalpha():
-            return out, i
-        out[parts[0].lower()] = float(parts[1])
-    return out, len(lines)
-
-
-def grid_rows(text: Iterator[str], header: dict[str, float], first: int, last: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Longitudes, latitudes and values of the rows first to last - 1; nodata values are left out."""
-    step, n = header["cellsize"], int(header["ncols"])
-    west = header["xllcorner"] if "xllcorner" in header else header["xllcenter"] - step / 2
-    south = header["yllcorner"] if "yllcorner" in header else header["yllcenter"] - step / 2
-    lon = west + (np.arange(n) + 0.5) * step
-    for i, line in enumerate(text):
-        if i >= last:
-            return
-        if i >= first:
-            v = np.array(line.split(), float)
-            good = v != header.get("nodata_value", -9999.0)
-            lat = south + (header["nrows"] - i - 0.5) * step
-            yield lon[good], np.full(good.sum(), lat), v[good]
+PIXELS = "lon double, lat double, value double"
 
 
 @dataclass
@@ -50,8 +25,9 @@ class Rows(InputPartition):
 
 
 class GridSource(DataSource):
-    """format("ascii_grid"): rows lon, lat, value of an ASCII grid in degrees on a path that every worker can open.
-    Option rows_per_partition (1000)."""
+    """format("ascii_grid"): rows lon, lat, value of an ASCII grid in degrees, without nodata values, on any file system
+    that Arrow knows. Option rows_per_partition (1000). The driver reads the file once to note where rows
+    begin, so that a partition reads but its own."""
 
     @classmethod
     def name(cls) -> str:
@@ -67,33 +43,35 @@ class GridSource(DataSource):
 class GridReader(DataSourceReader):
     def __init__(self, path: str, step: int):
         self.path, self.step = path, step
-
-    def _header(self) -> tuple[dict[str, float], int]:
-        with open(self.path) as f:
-            return grid_header([line for _, line in zip(range(8), f, strict=False)])
+        system, where = open_at(path)
+        with system.open_input_file(where) as f:
+            self.index = grid_index(f)
 
     def partitions(self) -> list[InputPartition]:
-        rows = int(self._header()[0]["nrows"])
+        rows = int(self.index[0]["nrows"])
         return [Rows(i, min(rows, i + self.step)) for i in range(0, rows, self.step)]
 
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
-        header, skip = self._header()
-        with open(self.path) as f:
-            for _ in range(skip):
-                next(f)
-            for lon, lat, value in grid_rows(f, header, partition.first, partition.last):
-                yield pa.RecordBatch.from_arrays([pa.array(lon), pa.array(lat), pa.array(value)], ["lon", "lat", "value"])
+        image = open_image(self.path, index=self.index)
+        lon = image.origin[0] + (np.arange(image.width) + 0.5) * image.step[0]
+        for top in range(partition.first, partition.last, image.EVERY):
+            bottom = min(partition.last, top + image.EVERY)
+            v = image.window(top, bottom, 0, image.width)[0].astype(float)
+            lat = image.origin[1] + (np.arange(top, bottom) + 0.5) * image.step[1]
+            good = v != image.nodata
+            columns = (np.broadcast_to(lon, v.shape)[good], np.broadcast_to(lat[:, None], v.shape)[good], v[good])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["lon", "lat", "value"])
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str | None
+    paths: tuple[str, ...]
 
 
 class TileSink(DataSource):
-    """format("tile_files"): writes each partition as one Parquet file with a sorting column, a page index, row groups of
-    ``group_rows`` and footer entries (options that begin with "footer."), which Spark's own writer can't write.
-    The path must be one that every worker can open."""
+    """format("tile_files"): writes each partition as Parquet files with a sorting column, a page index, row groups of
+    ``group_rows``, ``file_rows`` rows a file at most (0: all) and footer entries (options that begin with
+    "footer."), which Spark's own writer can't write. The path is on any file system that Arrow knows."""
 
     @classmethod
     def name(cls) -> str:
@@ -104,75 +82,67 @@ class TileSink(DataSource):
 
 
 class TileWriter(DataSourceArrowWriter):
+    """Files are named by the job, so that a job only ever removes files of its own."""
+
     def __init__(self, options: dict[str, str]):
-        self.path, self.rows = options["path"], int(options.get("group_rows", 200))
+        self.path, self.rows, self.most = options["path"], int(options.get("group_rows", 200)), int(options.get("file_rows", 0))
+        self.compression, self.job = options.get("compression", "zstd"), uuid.uuid4().hex
         self.footer = {k[7:]: v for k, v in options.items() if k.startswith("footer.")}
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        import os
-
         from pyspark import TaskContext
 
-        waiting = [b for b in batches if b.num_rows]
-        if not waiting:
-            return Written(None)
-        table = pa.Table.from_batches(waiting)
-        schema = table.schema.with_metadata({**(table.schema.metadata or {}), **{k.encode(): v.encode() for k, v in self.footer.items()}})
-        os.makedirs(self.path, exist_ok=True)
-        task = TaskContext.get()
-        path = f"{self.path}/part-{task.partitionId():05d}-{task.taskAttemptId()}.parquet"
-        with pq.ParquetWriter(path, schema, compression="zstd", write_page_index=True, sorting_columns=[pq.SortingColumn(table.schema.get_field_index("block"))]) as out:
-            out.write_table(table.cast(schema), row_group_size=self.rows)
-        return Written(path)
+        system, folder = open_at(self.path)
+        system.create_dir(folder, recursive=True)
+        task, paths, out, held, in_file = TaskContext.get(), [], None, [], 0
+
+        def flush(last: bool) -> None:
+            nonlocal out, held, in_file
+            while held and (last or sum(b.num_rows for b in held) >= self.rows):
+                table = pa.Table.from_batches(held)
+                room = min(self.rows, self.most - in_file) if self.most else self.rows
+                if out is None:
+                    schema = table.schema.with_metadata({**(table.schema.metadata or {}), **{k.encode(): v.encode() for k, v in self.footer.items()}})
+                    paths.append(f"{folder}/part-{self.job}-{task.partitionId():05d}-{task.taskAttemptId()}-{len(paths):03d}.parquet")
+                    out = pq.ParquetWriter(paths[-1], schema, filesystem=system, compression=self.compression, write_page_index=True, sorting_columns=[pq.SortingColumn(table.schema.get_field_index("block"))])
+                part, rest = table.slice(0, room), table.slice(room)
+                out.write_table(part.cast(out.schema), row_group_size=self.rows)
+                in_file += part.num_rows
+                held = rest.to_batches() if rest.num_rows else []
+                if in_file == self.most:
+                    out.close()
+                    out, in_file = None, 0
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                flush(False)
+        flush(True)
+        if out is not None:
+            out.close()
+        return Written(tuple(paths))
+
+    def _remove(self, keep: set[str]) -> None:
+        system, folder = open_at(self.path)
+        if system.get_file_info(folder).type != FileType.Directory:
+            return
+        for f in system.get_file_info(FileSelector(folder)):
+            if f.base_name.startswith(f"part-{self.job}-") and f.path not in keep:
+                system.delete_file(f.path)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         """Files of tasks that were run twice go: only those that committed stay."""
-        import os
-
-        kept = {m.path for m in messages if m and m.path}
-        for name in os.listdir(self.path) if os.path.isdir(self.path) else []:
-            if name.startswith("part-") and f"{self.path}/{name}" not in kept:
-                os.remove(f"{self.path}/{name}")
+        self._remove({p for m in messages if m for p in m.paths})
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        import os
-
-        for m in messages:
-            if m and m.path and os.path.exists(m.path):
-                os.remove(m.path)
+        self._remove(set())
 
 
 def read_tiff(data: bytes) -> tuple[np.ndarray, dict]:
-    """Rows x columns x bands of a TIFF that is little-endian and plain or deflated, in strips or tiles, with its fields
-    by tag. Other compressions, predictors and planes apart raise."""
-    if data[:4] != b"II*\0":
-        raise ValueError("not a little-endian TIFF")
-    sizes = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 12: ("d", 8), 11: ("f", 4)}
-    at = struct.unpack_from("<I", data, 4)[0]
-    fields: dict = {}
-    for i in range(struct.unpack_from("<H", data, at)[0]):
-        tag, kind, n = struct.unpack_from("<HHI", data, at + 2 + 12 * i)
-        code, size = sizes.get(kind, ("B", 1))
-        where = at + 10 + 12 * i
-        if n * size > 4:
-            where = struct.unpack_from("<I", data, where)[0]
-        fields[tag] = data[where : where + n].rstrip(b"\0") if code == "s" else list(struct.unpack_from(f"<{n}{code}", data, where))
-    if fields.get(259, [1])[0] not in (1, 8, 32946) or fields.get(317, [1])[0] != 1 or fields.get(284, [1])[0] != 1:
-        raise ValueError("only plain or deflated TIFFs without a predictor and with bands together are read")
-    w, h, bands = fields[256][0], fields[257][0], fields.get(277, [1])[0]
-    kind = {1: "u", 2: "i", 3: "f"}[fields.get(339, [1])[0]]
-    dtype = np.dtype(f"<{kind}{fields.get(258, [8])[0] // 8}")
-    tw, th = (fields[322][0], fields[323][0]) if 322 in fields else (w, fields.get(278, [h])[0])
-    offsets, lengths = (fields[324], fields[325]) if 322 in fields else (fields[273], fields[279])
-    out = np.zeros((h, w, bands), dtype)
-    across = -(-w // tw)
-    for i, (o, n) in enumerate(zip(offsets, lengths, strict=True)):
-        raw = data[o : o + n] if fields.get(259, [1])[0] == 1 else zlib.decompress(data[o : o + n])
-        y, x = i // across * th, i % across * tw
-        part = np.frombuffer(raw, dtype)
-        part = part.reshape(-1, tw, bands)[: min(th, h - y), : min(tw, w - x)]
-        out[y : y + part.shape[0], x : x + part.shape[1]] = part
-    return out, fields
+    """Rows x columns x bands of a TIFF in memory, with its fields by tag."""
+    order, found = _directories(lambda at, n: data[at : at + n])
+    image = _tiff_image(found[0], lambda at, n: data[at : at + n], order)
+    return image.window(0, image.height, 0, image.width).transpose(1, 2, 0), found[0]
 
 
 def tiff_pixels(values: np.ndarray, fields: dict) -> tuple[np.ndarray, np.ndarray]:
