@@ -89,12 +89,13 @@ def dimensions(tiles: DataFrame, zoom: int, size: int) -> DataFrame:
     return r.select(((F.col("x1") - F.col("x0") + 1) * size).alias("width"), ((F.col("y1") - F.col("y0") + 1) * size).alias("height"), merc.west(F.col("x0"), zoom).alias("west"), merc.north(F.col("y1") + 1, zoom).alias("south"), merc.west(F.col("x1") + 1, zoom).alias("east"), merc.north(F.col("y0"), zoom).alias("north"), "blocks")
 
 
-def build_table(spark: SparkSession, native: DataFrame, path: str, kind: str, zoom: int, size: int, least_zoom: int | None = None, overviews: Overviews = Overviews.AUTO, resampling: str = "average", layout: Layout = Layout.SEQUENTIAL, compression: str | None = "gzip", tile_statistics: bool = True, nodata=None, group_rows: int = GROUP_ROWS, file_bytes: int = 0, bands: dict | None = None, time: dict | None = None, own: dict[int, DataFrame] | None = None, quality: int | None = None, footer: dict[str, str] | None = None) -> dict:
+def build_table(spark: SparkSession, native: DataFrame, path: str, kind: str, zoom: int, size: int, least_zoom: int | None = None, overviews: Overviews = Overviews.AUTO, resampling: str = "average", layout: Layout = Layout.SEQUENTIAL, compression: str | None = "gzip", tile_statistics: bool = True, nodata=None, group_rows: int = GROUP_ROWS, file_bytes: int = 0, bands: dict | None = None, time: dict | None = None, own: dict[int, DataFrame] | None = None, quality: int | None = None, footer: dict[str, str] | None = None, keep_empty: bool = False, **more) -> dict:
     """Write a table of native tiles (block, band_1, ...) with overviews and metadata; gives the metadata.
 
-    Tiles without a valid pixel are left out. Pixels are decoded once: statistics are computed as tiles are
+    Tiles without a valid pixel are left out, unless ``keep_empty``. Pixels are decoded once: statistics are computed as tiles are
     written, and the metadata's come from the written statistics columns of the finest zoom, exactly. ``own`` holds
-    overviews that the source has itself, ``footer`` entries for the footers of the files.
+    overviews that the source has itself, ``footer`` entries for the footers of the files, ``more`` further fields
+    of the metadata.
     """
     checked_block_size(size)
     names = [c for c in native.columns if c.startswith("band_")]
@@ -103,7 +104,8 @@ def build_table(spark: SparkSession, native: DataFrame, path: str, kind: str, zo
         least_zoom = zoom if d["blocks"] == 0 else max(0, zoom - max(0, round(math.log2(math.hypot(d["width"], d["height"]) / merc.LEAST_OVERVIEW))))
     tiles = native if overviews == Overviews.NONE else pyramid(native, names, kind, size, zoom, least_zoom, resampling, nodata, "gzip", own)
     counted = with_statistics(tiles, names, kind, nodata)
-    counted = counted.where(" or ".join(f"{b}_count > 0" for b in names))
+    if not keep_empty:
+        counted = counted.where(" or ".join(f"{b}_count > 0" for b in names))
     stat = [f"{b}{s}" for b in names for s in M.SUFFIXES]
     kept = [c for c in counted.columns if c not in names and c not in stat]
     if layout == Layout.INTERLEAVED:
@@ -118,7 +120,7 @@ def build_table(spark: SparkSession, native: DataFrame, path: str, kind: str, zo
         s = finest.agg(*merged_of_columns(b)).first().asDict()
         s["valid_percent"] = 100.0 * (s["count"] or 0) / max(1, d["blocks"] * size * size)
         entries.append(M.Band(b, kind, nodata, statistics=s, **(bands or {}).get(b, {})))
-    meta = M.document(entries, [d["west"], d["south"], d["east"], d["north"]], d["width"], d["height"], zoom if overviews == Overviews.NONE else least_zoom, zoom, size, d["blocks"], compression, str(layout), quality=quality, tile_statistics=tile_statistics, time=time)
+    meta = M.document(entries, [d["west"], d["south"], d["east"], d["north"]], d["width"], d["height"], zoom if overviews == Overviews.NONE else least_zoom, zoom, size, d["blocks"], compression, str(layout), quality=quality, tile_statistics=tile_statistics, time=time, **more)
     final = done if tile_statistics else done.drop(*stat)
     files = 0
     if file_bytes:

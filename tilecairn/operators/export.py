@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import io
+import math
+import shutil
 import struct
+import tempfile
 import zlib
 from collections.abc import Iterator
+from functools import partial, reduce
+from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilecairn.functions.cells import cell_x, cell_y, tile_of
 from tilecairn.functions.mercator import CIRCLE
-from tilecairn.functions.pixels import TYPES, decode, decode_udf, display
+from tilecairn.functions.pixels import TYPES, band_of_udf, decode, decode_udf, display
 from tilecairn.plans.ranges import in_zoom
-
-#: Names of color interpretations, by their code from 0 on.
-COLOURS = "undefined gray palette red green blue alpha hue saturation lightness cyan magenta yellow black pan coastal rededge nir swir mwir lwir tir otherir sar_ka sar_k sar_ku sar_x sar_c sar_s sar_l sar_p".split()
-
+from tilecairn.sources.rasters import COLOURS, info, open_at
+from tilecairn.sources.tables import read_metadata, read_table
 
 def mosaic(tiles: DataFrame, band: str, kind: str, size: int, zoom: int, nodata=None, compression: str | None = None) -> DataFrame:
     """Rows column, row, value: the valid pixels of a zoom by their place from the table's top left corner."""
@@ -61,79 +66,171 @@ def _render(blobs: list, kind: str, size: int, compression: str | None) -> bytes
 
 def tiff(values: np.ndarray, left: float, top: float, pixel: float, block: int, nodata=None, colours: dict | None = None) -> bytes:
     """A tiled, deflated TIFF of an array of rows and columns (of bands, where it has three axes) with the place of
-    its top left corner in Mercator metres. For rasters that fit the driver."""
+    its top left corner in Mercator metres. For arrays in memory; tables are written by export_tiff()."""
     if values.ndim == 2:
         values = values[..., None]
     h, w, bands = values.shape
-    tiles = []
-    for y in range(0, h, block):
-        for x in range(0, w, block):
-            part = np.zeros((block, block, bands), values.dtype)
-            cut = values[y : y + block, x : x + block]
-            part[: cut.shape[0], : cut.shape[1]] = cut
-            tiles.append(zlib.compress(part.astype(values.dtype.newbyteorder("<")).tobytes()))
-    form = {"u": 1, "i": 2, "f": 3}[values.dtype.kind]
-    bits = values.dtype.itemsize * 8
-    keys = [1, 1, 0, 3, 1024, 0, 1, 1, 1025, 0, 1, 1, 3072, 0, 1, 3857]
-    fields: list[tuple[int, int, list | bytes]] = [
-        (256, 4, [w]), (257, 4, [h]), (258, 3, [bits] * bands), (259, 3, [8]), (262, 3, [3 if colours else 2 if bands >= 3 and bits == 8 else 1]), (277, 3, [bands]), (284, 3, [1]),
-        (322, 4, [block]), (323, 4, [block]), (324, 4, [0] * len(tiles)), (325, 4, [len(t) for t in tiles]), (339, 3, [form] * bands),
-        (33550, 12, [pixel, pixel, 0.0]), (33922, 12, [0.0, 0.0, 0.0, left, top, 0.0]), (34735, 3, keys),
-    ]
-    if colours:
-        table = np.zeros((256, 3), np.int64)
-        for k, v in colours.items():
-            table[int(k)] = [c * 257 for c in v[:3]]
-        fields.append((320, 3, table.T.ravel().tolist()))
-    if nodata is not None:
-        fields.append((42113, 2, f"{nodata}".encode() + b"\0"))
-    fields.sort(key=lambda f: f[0])
-    codes = {3: "H", 4: "I", 12: "d"}
-    after = 8 + 2 + 12 * len(fields) + 4
-    extra, entries = b"", []
-    where = None
-    for tag, kind, value in fields:
-        body = value if isinstance(value, bytes) else struct.pack(f"<{len(value)}{codes[kind]}", *value)
-        if tag == 324:
-            where = len(entries)
-        entries.append([tag, kind, len(value), body])
-    for e in entries:
-        if len(e[3]) > 4:
-            e.append(after + len(extra))
-            extra += e[3] + b"\0" * (-len(e[3]) % 8)
-    start = after + len(extra)
-    starts = (np.cumsum([0] + [len(t) for t in tiles[:-1]]) + start).tolist()
-    body = struct.pack(f"<{len(starts)}I", *starts)
-    out = b"II*\0" + struct.pack("<IH", 8, len(entries))
-    for e in entries:
-        out += struct.pack("<HHI", *e[:3]) + (struct.pack("<I", e[4]) if len(e) > 4 else (body if e[0] == 324 else e[3]).ljust(4, b"\0"))
-    out += struct.pack("<I", 0)
-    if len(entries[where]) > 4:
-        at = entries[where][4] - after
-        extra = extra[:at] + body + extra[at + len(body) :]
-    return out + extra + b"".join(tiles)
-
-
-def export_tiff(tiles: DataFrame, bands: list[str], kind: str, size: int, zoom: int, path: str, nodata=None, colours: dict | None = None, most_pixels: int = 1 << 28) -> tuple[int, int]:
-    """Write the tiles of a zoom as one TIFF file on the driver; gives width and height. Raises for more pixels than
-    ``most_pixels``, for which mosaic() is the way."""
-    level = tiles.where(in_zoom(F.col("block"), zoom))
+    out = io.BytesIO()
+    writer = TiffWriter(out, bands, values.dtype.name, block, nodata, colours, big=False)
+    blocks = {}
+    for i, (y, x) in enumerate((y, x) for y in range(0, h, block) for x in range(0, w, block)):
+        part = np.zeros((block, block, bands), values.dtype)
+        cut_ = values[y : y + block, x : x + block]
+        part[: cut_.shape[0], : cut_.shape[1]] = cut_
+        blocks[i] = writer.put(deflated(part))
+    writer.level(w, h, blocks, left, top, pixel)
+    writer.finish()
+    return out.getvalue()
+
+
+def deflated(part: np.ndarray) -> bytes:
+    """A block as a TIFF file holds it."""
+    return zlib.compress(np.ascontiguousarray(part.astype(part.dtype.newbyteorder("<"))).tobytes())
+
+
+class TiffWriter:
+    """Writes a tiled TIFF in one pass: blocks as they come, then the directories of the levels, the full one first.
+
+    A big file has 64-bit places. Blocks that nobody wrote are left out (no bytes), which readers take as nodata.
+    """
+
+    def __init__(self, file, bands: int, kind: str, block: int, nodata=None, palette: dict | None = None, colours: list[str] | None = None, big: bool = True, descriptions: list | None = None):
+        self.file, self.bands, self.kind, self.block, self.nodata, self.palette, self.big = file, bands, kind, block, nodata, palette, big
+        self.colours, self.descriptions = colours or [], descriptions or []
+        if unknown := [c for c in self.colours if c and c.lower() not in COLOURS]:
+            raise ValueError(f"unknown color interpretation {unknown[0]}")
+        self.levels: list[tuple] = []
+        file.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 0) if big else struct.pack("<2sHI", b"II", 42, 0))
+
+    def put(self, data: bytes) -> tuple[int, int]:
+        """Write a block; gives its place and size."""
+        at = self.file.tell()
+        self.file.write(data)
+        return at, len(data)
+
+    def level(self, width: int, height: int, blocks: dict[int, tuple[int, int]], left: float, top: float, pixel: float) -> None:
+        self.levels.append((width, height, blocks, left, top, pixel))
+
+    def _items(self) -> bytes:
+        rows = [f'<Item name="COLORINTERP" sample="{i}" role="colorinterp">{c.capitalize()}</Item>' for i, c in enumerate(self.colours) if c]
+        rows += [f'<Item name="DESCRIPTION" sample="{i}" role="description">{escape(d)}</Item>' for i, d in enumerate(self.descriptions) if d]
+        return f"<GDALMetadata>{''.join(rows)}</GDALMetadata>".encode() + b"\0" if rows else b""
+
+    def _fields(self, k: int) -> list[tuple[int, str, list | bytes]]:
+        width, height, blocks, left, top, pixel = self.levels[k]
+        bits, form = np.dtype(self.kind).itemsize * 8, {"u": 1, "i": 2, "f": 3}[np.dtype(self.kind).kind]
+        n = -(-width // self.block) * -(-height // self.block)
+        places = [blocks.get(i, (0, 0)) for i in range(n)]
+        word = "Q" if self.big else "I"
+        rgb = self.bands >= 3 and (bits == 8 or [c.lower() for c in self.colours[:3]] == ["red", "green", "blue"])
+        extra = self.bands - (3 if rgb else 1)
+        alpha = lambda i: i < len(self.colours) and (self.colours[i] or "").lower() == "alpha"
+        fields: list[tuple[int, str, list | bytes]] = [
+            (254, "I", [1 if k else 0]), (256, "I", [width]), (257, "I", [height]), (258, "H", [bits] * self.bands), (259, "H", [8]), (262, "H", [3 if self.palette else 2 if rgb else 1]), (277, "H", [self.bands]), (284, "H", [1]),
+            (322, "I", [self.block]), (323, "I", [self.block]), (324, word, [p for p, _ in places]), (325, word, [c for _, c in places]), (339, "H", [form] * self.bands),
+            (33550, "d", [pixel, pixel, 0.0]), (33922, "d", [0.0, 0.0, 0.0, left, top, 0.0]), (34735, "H", [1, 1, 0, 3, 1024, 0, 1, 1, 1025, 0, 1, 1, 3072, 0, 1, 3857]),
+        ]
+        if extra > 0:
+            fields.append((338, "H", [2 if alpha(self.bands - extra + i) else 0 for i in range(extra)]))
+        if self.palette and bits <= 16:
+            table = np.zeros((1 << bits, 3), np.int64)
+            for key, v in self.palette.items():
+                table[int(key)] = [c * 257 for c in v[:3]]
+            fields.append((320, "H", table.T.ravel().tolist()))
+        if k == 0 and (text := self._items()):
+            fields.append((42112, "s", text))
+        if self.nodata is not None:
+            fields.append((42113, "s", f"{self.nodata}".encode() + b"\0"))
+        return sorted(fields, key=lambda f: f[0])
+
+    def finish(self) -> None:
+        """Write the directories and the place of the first one."""
+        codes = {"s": 2, "H": 3, "I": 4, "d": 12, "Q": 16}
+        word, inline, link = ("Q", 8, 8) if self.big else ("I", 4, 4)
+        for k in range(len(self.levels)):
+            entries = []
+            for tag, code, value in self._fields(k):
+                body = value if isinstance(value, bytes) else struct.pack(f"<{len(value)}{code}", *value)
+                if len(body) > inline:
+                    self.file.write(b"\0" * (-self.file.tell() % 8))
+                    at = self.file.tell()
+                    self.file.write(body)
+                    held = struct.pack("<" + word, at)
+                else:
+                    held = body.ljust(inline, b"\0")
+                entries.append(struct.pack("<HH" + word, tag, codes[code], len(value)) + held)
+            self.file.write(b"\0" * (-self.file.tell() % 8))
+            at = self.file.tell()
+            self.file.seek(link)
+            self.file.write(struct.pack("<" + word, at))
+            self.file.seek(at)
+            self.file.write(struct.pack("<Q" if self.big else "<H", len(entries)) + b"".join(entries))
+            link = self.file.tell()
+            self.file.write(struct.pack("<" + word, 0))
+
+
+def _blocks(batches, bands: list[str], kind: str, size: int, nodata, compression: str | None):
+    """Rows block, data: the bands of a tile together as a block of a TIFF file."""
+    blank = nodata if nodata is not None else 0
+    for batch in batches:
+        out = []
+        for row in zip(*(batch.column(b) for b in bands), strict=True):
+            part = [np.full(size * size, blank, TYPES[kind]) if not b.is_valid else decode(b.as_py(), kind, compression) for b in row]
+            out.append(deflated(np.stack(part, axis=-1).reshape(size, size, len(bands))))
+        yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(out, pa.binary())], ["block", "data"])
+
+
+def export_tiff(tiles: DataFrame, bands: list[str], kind: str, size: int, zoom: int, path: str, nodata=None, colours: dict | None = None, least_zoom: int | None = None, interpretations: list[str] | None = None, descriptions: list | None = None, compression: str | None = None, most_pixels: int | None = None) -> tuple[int, int]:
+    """Write the tiles of a zoom as one tiled TIFF file, with the overviews down to least_zoom that overview_factors()
+    gives; gives width and height.
+
+    A tile is a block of the file: executors decode and deflate, and the driver appends the blocks as they come,
+    a partition at a time, so no raster has to fit it. Files that may pass 2 GB have 64-bit places. A caller may
+    set most_pixels, beyond which this raises.
+    """
     x, y = cell_x(F.col("block")), cell_y(F.col("block"))
-    r = level.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    r = tiles.where(in_zoom(F.col("block"), zoom)).agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
     if r[0] is None:
         raise ValueError(f"no tiles at zoom {zoom}")
     w, h = (r[1] - r[0] + 1) * size, (r[3] - r[2] + 1) * size
-    if w * h * len(bands) > most_pixels:
-        raise ValueError(f"{w} x {h} pixels do not fit one file")
-    blank = nodata if nodata is not None else 0
-    out = np.full((h, w, len(bands)), blank, TYPES[kind])
-    for row in level.select("block", *bands).toLocalIterator():
-        tx, ty, _ = tile_of(row["block"])
-        c, t = (tx - r[0]) * size, (ty - r[2]) * size
-        for i, b in enumerate(bands):
-            if row[b] is not None:
-                out[t : t + size, c : c + size, i] = decode(bytes(row[b]), kind).reshape(size, size)
-    unit = CIRCLE / (1 << zoom)
-    with open(path, "wb") as f:
-        f.write(tiff(out, r[0] * unit - CIRCLE / 2, CIRCLE / 2 - r[2] * unit, unit / size, size, nodata, colours))
+    if most_pixels is not None and w * h * len(bands) > most_pixels:
+        raise ValueError(f"{w} x {h} pixels are more than {most_pixels}")
+    zooms = [zoom] + [zoom - int(math.log2(f)) for f in overview_factors(zoom if least_zoom is None else least_zoom, zoom, w, h, size)]
+    corner = {z: (r[0] >> zoom - z, r[2] >> zoom - z, (r[1] >> zoom - z) - (r[0] >> zoom - z) + 1) for z in zooms}
+    # an overview's blocks are tiles of its zoom, which lie on the grid of the full raster only where that begins at a tile of the overview
+    zooms = [z for z in zooms if z == zoom or (r[0] % (1 << zoom - z), r[2] % (1 << zoom - z)) == (0, 0)] if len(zooms) > 1 else zooms
+    chosen = tiles.where(reduce(lambda a, b: a | b, [in_zoom(F.col("block"), z) for z in zooms])).select("block", *bands)
+    blocks = chosen.mapInArrow(partial(_blocks, bands=bands, kind=kind, size=size, nodata=nodata, compression=compression), "block long, data binary")
+    found: dict[int, dict[int, tuple[int, int]]] = {z: {} for z in zooms}
+    system, where = open_at(path)
+    big = w * h * len(bands) * np.dtype(kind).itemsize > 1 << 31
+    with tempfile.TemporaryFile() as f:  # directories refer back, so the file is put together here and copied
+        writer = TiffWriter(f, len(bands), kind, size, nodata, colours, interpretations, big, descriptions)
+        for row in blocks.toLocalIterator():
+            tx, ty, z = tile_of(row["block"])
+            x0, y0, across = corner[z]
+            found[z][(ty - y0) * across + tx - x0] = writer.put(row["data"])
+        unit = CIRCLE / (1 << zoom)
+        left, top = r[0] * unit - CIRCLE / 2, CIRCLE / 2 - r[2] * unit
+        for z in zooms:
+            scale = 1 << zoom - z
+            writer.level(-(-w // scale), -(-h // scale), found[z], left, top, unit / size * scale)
+        writer.finish()
+        f.seek(0)
+        with system.open_output_stream(where) as out:
+            shutil.copyfileobj(f, out, 1 << 22)
     return w, h
+
+
+def export_table(spark: SparkSession, table: str, path: str, overviews: bool = True) -> dict:
+    """Write a table as a TIFF file by what its metadata tell; gives info() of the file."""
+    meta = read_metadata(spark, table)
+    t, entries = meta["tiling"], meta["bands"]
+    tiles, names, compression = read_table(spark, table), [b["name"] for b in entries], meta.get("compression")
+    kind = entries[0]["type"]
+    if meta.get("band_layout") == "interleaved":
+        tiles = tiles.select("block", *(band_of_udf(kind, len(names), i + 1, compression)("pixels").alias(n) for i, n in enumerate(names)))
+        compression = None
+    nodata = entries[0].get("nodata")
+    export_tiff(tiles, names, kind, t["block_width"], t["max_zoom"], path, nodata, entries[0].get("colortable"), t["min_zoom"] if overviews else None, [b.get("colorinterp") for b in entries], [b.get("description") for b in entries], compression)
+    return info(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import time
 import urllib.error
 import urllib.parse
@@ -10,12 +11,16 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tilecairn.functions.cells import checked_block_size
-from tilecairn.functions.mercator import CIRCLE
-from tilecairn.functions.pixels import SERVICE_TYPES, encode, fitted, valid
+from tilecairn.functions.cells import checked_block_size, tile_to_cell
+from tilecairn.functions.mercator import CIRCLE, tile_at
+from tilecairn.functions.pixels import SERVICE_TYPES, encode, fitted, nodata_value, valid
+from tilecairn.functions.projections import box_to_degrees, from_degrees
+from tilecairn.plans.scratch import cut
 from tilecairn.sources.grids import read_tiff
 
 FATAL = {401: "a token is needed", 403: "access is denied", 404: "there is no such service"}
@@ -59,7 +64,7 @@ def service_metadata(url: str, token: str | None = None, get: Callable = fetch)
     raw = json.loads(request(url, {"f": "json"} | ({"token": token} if token else {}), get=get))
     if "error" in raw:
         raise ValueError(raw["error"].get("message", "the service reports an error"))
-    return {"extent": raw["extent"], "type": SERVICE_TYPES.get(raw.get("pixelType", ""), "float32"), "bands": raw.get("bandCount", 1), "nodata": raw.get("noDataValue"), "pixel": raw.get("pixelSizeX")}
+    return {"extent": raw["extent"], "type": SERVICE_TYPES.get(raw.get("pixelType", ""), "float32"), "bands": raw.get("bandCount", 1), "nodata": raw.get("noDataValue"), "pixel": raw.get("pixelSizeX"), "columns": raw.get("columns"), "name": raw.get("name")}
 
 
 def tile_request(url: str, x: int, y: int, z: int, size: int, token: str | None = None, bands: list[int] | None = None) -> dict:
@@ -96,6 +101,52 @@ def service_tiles(spark: SparkSession, url: str, tiles: DataFrame, size: int = 2
     return tiles.select("x", "y", "z", "block").mapInArrow(partial(_tiles, url=url, size=size, kind=info["type"], bands=info["bands"], nodata=info["nodata"], token=token, skip_empty=skip_empty, get=get), schema)
 
 
+def reference_system(spatial: dict | None) -> str:
+    """The reference system that a service names: known ids of Web Mercator, other ids as EPSG codes, else degrees."""
+    spatial = spatial or {}
+    wkid = spatial.get("latestWkid") or spatial.get("wkid")
+    return {102100: "EPSG:3857", 102113: "EPSG:3785", None: spatial.get("wkt") or "EPSG:4326"}.get(wkid, f"EPSG:{wkid}")
+
+
+def service_plan(info: dict, size: int, box: tuple | None = None, box_crs: str = "EPSG:4326", zoom: int | None = None) -> tuple[int, tuple[float, float, float, float]]:
+    """The zoom, and the box in degrees, to ask a service for: its extent or the part of it within a box in any known
+    system. The zoom is the least whose pixels are as fine as the service's, 22 at most."""
+    e = info["extent"]
+    crs = reference_system(e.get("spatialReference"))
+    extent = box_to_degrees((e["xmin"], e["ymin"], e["xmax"], e["ymax"]), crs)
+    wanted = intersected(box_to_degrees(box, box_crs), extent) if box else extent
+    (left, right), _ = from_degrees(np.array([extent[0], extent[2]]), np.zeros(2), "EPSG:3857")
+    columns = info.get("columns") or (abs(e["xmax"] - e["xmin"]) / info["pixel"] if info.get("pixel") else 256)
+    block_zoom = int(math.log2(size))
+    if zoom is None:
+        zoom = math.ceil(math.log2(CIRCLE / size / (abs(right - left) / columns)) - 1e-9)
+    return max(0, min(26 - block_zoom, 22, zoom)), wanted
+
+
+def tiles_of_box(spark: SparkSession, box: tuple, zoom: int) -> DataFrame:
+    """Rows x, y, z, block: the tiles at a zoom that a box in degrees meets, made row by row by the tasks."""
+    w, s, e, n = box
+    nudge = 1e-11
+    (x0, y0), (x1, y1) = tile_at(w, n, zoom), tile_at(e - nudge, s + nudge, zoom)
+    rows = spark.range(y0, max(y0, y1) + 1).select(F.explode(F.sequence(F.lit(x0), F.lit(max(x0, x1)))).cast("long").alias("x"), F.col("id").alias("y"), F.lit(zoom).alias("z"))
+    return rows.withColumn("block", tile_to_cell(F.col("x"), F.col("y"), zoom))
+
+
+def convert_service(spark: SparkSession, url: str, table: str, box: tuple | None = None, box_crs: str = "EPSG:4326", size: int = 256, zoom: int | None = None, token: str | None = None, skip_empty: bool = True, statistics: bool = True, compression: str | None = "gzip", group_rows: int = 200, get: Callable = fetch) -> dict:
+    """Write what an image service holds in a box as a table of one zoom with statistics and metadata; gives a summary:
+    blocks, bands, zoom, type, bounds and bytes."""
+    from tilecairn.operators.convert import Overviews, build_table
+    from tilecairn.sources.tables import scan
+
+    info = service_metadata(url, token, get)
+    zoom, wanted = service_plan(info, size, box, box_crs, zoom)
+    asked = tiles_of_box(spark, wanted, zoom)
+    native = service_tiles(spark, url, asked.repartition(max(1, spark.sparkContext.defaultParallelism)), size, token, skip_empty, get)
+    meta = build_table(spark, cut(native), table, info["type"], zoom, size, zoom, Overviews.NONE, compression=compression, tile_statistics=statistics, nodata=nodata_value(info["nodata"]), group_rows=group_rows, keep_empty=not skip_empty, source={"url": url, "name": info.get("name")})
+    size_ = scan(spark, table).where("block <> 0").agg(F.sum(sum((F.octet_length(f"band_{i + 1}") for i in range(info["bands"])), F.lit(0)))).first()[0]
+    return {"blocks": meta["tiling"]["num_blocks"], "asked": asked.count(), "bands": info["bands"], "zoom": zoom, "type": info["type"], "bounds": meta["bounds"], "bytes": size_ or 0}
+
+
 class ExportJob:
     """An export by a remote service that is started, watched and read when done. The service is an object with
     start(asset, transform), state(job) and delete(path); none comes with this package."""
