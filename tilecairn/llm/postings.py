@@ -130,32 +130,36 @@ def _row(kind: int, bucket: int, flush: int, lists: list, data: bytes) -> pa.Rec
 
 def _flushed(held: list[tuple], name: int, buckets: int, by_class: bool):
     sizes = np.array([len(x[4]) for x in held])
-    at = np.repeat(np.arange(len(held)), sizes)
+    names = [[x[k] for x in held] for k in range(4)]
     h, bucket = np.concatenate([x[4] for x in held]), np.concatenate([x[5] for x in held])
-    owners = np.array([x[2] for x in held], np.int64)
-    order = np.argsort(h, kind="stable")
-    starts = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-    group = owners[at][order]
+    held.clear()  # the hashes are in one array now
+    at = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    owners = np.array(names[2], np.int64)
+    order = np.argsort(h, kind="stable").astype(np.int32)
+    starts = _turns(h, order)
+    group = owners[at[order]]
     least = np.minimum.reduceat(group, starts)
     spans = np.diff(starts, append=len(h))
     local = np.empty(len(h), bool)
-    marks = np.empty(0, np.int64)
+    marks = np.empty(0, np.int32)
     if by_class:
         many = least != np.maximum.reduceat(group, starts)
         local[order] = np.repeat(many, spans)
         marks = order[starts[many]]  # the hash goes out once for all of them
     else:
         local[order] = group > np.repeat(least, spans)
+    del group, least, order
     firsts = np.cumsum(sizes) - sizes
-    yield _row(NAMES, name % buckets, name, [[x[k] for x in held] for k in range(4)] + [[]], b"")
+    yield _row(NAMES, name % buckets, name, [*names, []], b"")
     if some := np.unique(at[local]).tolist():
         bits = b"".join(np.packbits(local[firsts[i] : firsts[i] + sizes[i]]).tobytes() for i in some)
         yield _row(LOCAL, name % buckets, name, [some, [], [], [], sizes[some].tolist()], bits)
     asked = np.flatnonzero(~local)
-    at = np.concatenate([at[asked], np.full(len(marks), -1)])
-    index = np.concatenate([asked, marks])
+    at = np.concatenate([at[asked], np.full(len(marks), -1, np.int32)])
+    index = np.concatenate([asked.astype(np.int32), marks])
     order = np.argsort(bucket[index], kind="stable")
     at, index = at[order], index[order]
+    del order, asked, local
     cuts = np.flatnonzero(np.diff(bucket[index])) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(index)], strict=True):
         if a == b:
@@ -167,35 +171,48 @@ def _flushed(held: list[tuple], name: int, buckets: int, by_class: bool):
         yield _row(POST, int(bucket[index[a]]), name, lists, h[index[a:b]].tobytes())
 
 
+def _turns(h: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Where, in this order, a hash differs from the one before; the first counts."""
+    turn = np.ones(len(h), bool)
+    turn[1:] = h[order[1:]] != h[order[:-1]]
+    return np.flatnonzero(turn)
+
+
 def _answer(batches, by_class: bool):
     """The answers of the buckets in this partition: their posts with bits for hashes, where any is set.
-    What needs no answer passes through."""
-    buckets: dict[int, list] = {}
+    What needs no answer passes through. Posts are held as arrays."""
+    buckets: dict[int, list[tuple]] = {}
     for batch in batches:
-        for x in batch.to_pylist():
-            if x["kind"] == POST:
-                buckets.setdefault(x["bucket"], []).append(x)
-            else:
-                yield _row(x["kind"], x["bucket"], x["flush"], [x[k] for k in _LISTS], x["data"])
-    for bucket, posts in buckets.items():
-        h = np.frombuffer(b"".join(x["data"] for x in posts), np.uint64)
-        counts = [np.array(x["n"], np.int64) for x in posts]
-        owner = np.repeat(np.concatenate([np.array(x["owner"], np.int64) for x in posts]), np.concatenate(counts))
-        order = np.argsort(h, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        kinds = batch.column("kind").to_numpy()
+        passed = np.flatnonzero(kinds != POST)
+        if len(passed):
+            yield batch.take(pa.array(passed))
+        lists = [batch.column(x) for x in ("doc", "owner", "n")]
+        for i in np.flatnonzero(kinds == POST).tolist():
+            arrays = [c[i].values.to_numpy().copy() for c in lists]
+            buckets.setdefault(batch.column("bucket")[i].as_py(), []).append((batch.column("flush")[i].as_py(), *arrays, np.frombuffer(batch.column("data")[i].as_py(), np.uint64)))
+    while buckets:
+        bucket, posts = buckets.popitem()
+        counts = [x[3] for x in posts]
+        h = np.concatenate([x[4] for x in posts])
+        posts = [x[:3] for x in posts]
+        owner = np.repeat(np.concatenate([x[2] for x in posts]), np.concatenate(counts))
+        order = np.argsort(h, kind="stable").astype(np.int32)
+        starts, size = _turns(h, order), len(h)
+        del h
         group = owner[order]
-        least, spans = np.minimum.reduceat(group, starts), np.diff(starts, append=len(h))
-        bit = np.empty(len(h), bool)
+        least, spans = np.minimum.reduceat(group, starts), np.diff(starts, append=size)
+        bit = np.empty(size, bool)
         bit[order] = np.repeat(least != np.maximum.reduceat(group, starts), spans) if by_class else group > np.repeat(least, spans)
+        del owner, order, group, least
         at = 0
-        for x, n in zip(posts, counts, strict=True):
+        for (flush, doc, _), n in zip(posts, counts, strict=True):
             edges = at + np.concatenate([[0], np.cumsum(n)])
             at = int(edges[-1])
-            hit = np.flatnonzero(np.add.reduceat(bit[edges[0] : at], edges[:-1] - edges[0]) > 0)
-            hit = [i for i in hit.tolist() if x["doc"][i] >= 0]
-            if hit:
-                bits = b"".join(np.packbits(bit[edges[i] : edges[i + 1]]).tobytes() for i in hit)
-                yield _row(POST, bucket, x["flush"], [[x["doc"][i] for i in hit], [], [], [], [x["n"][i] for i in hit]], bits)
+            hit = np.flatnonzero((np.add.reduceat(bit[edges[0] : at], edges[:-1] - edges[0]) > 0) & (doc >= 0))
+            if len(hit):
+                bits = b"".join(np.packbits(bit[edges[i] : edges[i + 1]]).tobytes() for i in hit.tolist())
+                yield _row(POST, bucket, flush, [doc[hit], [], [], [], n[hit]], bits)
 
 
 def _assemble(table: pa.Table) -> pa.Table:
