@@ -7,7 +7,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +61,11 @@ class Letters:
 
     cost: np.ndarray
 
+    @cached_property
+    def flat(self) -> list[float]:
+        """The costs by (first * SIZE + second) * SIZE + third, as a list, which single look-ups are faster in."""
+        return self.cost.ravel().tolist()
+
     @classmethod
     def of(cls, counts: np.ndarray) -> Letters:
         c = counts.reshape(SIZE, SIZE, SIZE).astype(float)
@@ -121,23 +126,23 @@ def viterbi(token: str, letters: Letters, run: bool = False) -> str:
 
 def _decoded(choices: list, letters: Letters, state: tuple[int, int], last: bool) -> tuple[str, tuple[int, int]]:
     """The likeliest letters of these places after two letters, and the two letters then; last: a border follows."""
-    border = 0
-    best: dict[tuple[int, int], tuple[float, str]] = {state: (0.0, "")}
+    flat, index = letters.flat, _INDEX
+    best: dict[int, tuple[float, str]] = {state[0] * SIZE + state[1]: (0.0, "")}
     for choice in choices:
-        now: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in best.items():
+        now: dict[int, tuple[float, str]] = {}
+        for state_, (cost, text) in best.items():
             for x, extra in choice:
-                at, total = (a, b), cost + extra
+                at, total = state_, cost + extra
                 for c in x:
-                    i = _INDEX.get(c, border)
-                    total += letters.cost[at[0], at[1], i]
-                    at = (at[1], i)
+                    i = index.get(c, 0)  # a space is a border
+                    total += flat[at * SIZE + i]
+                    at = at % SIZE * SIZE + i
                 value = (total, text + x)
                 if at not in now or value < now[at]:
                     now[at] = value
         best = now
-    _, text, state = min((cost + (letters.cost[a, b, border] if last else 0.0), text, (a, b)) for (a, b), (cost, text) in best.items())
-    return text, state
+    _, text, at = min((cost + (flat[at * SIZE] if last else 0.0), text, at) for at, (cost, text) in best.items())
+    return text, divmod(at, SIZE)
 
 
 def spelled(token: str, trie: dict) -> str | None:
@@ -207,6 +212,8 @@ def parts(token: str) -> list[tuple[str, bool]]:
     return out
 
 
+#: Tokens whose features a worker keeps.
+KNOWN = 150_000
 #: Starts of words that are features, by letters, and counts of a feature in a text that are features too.
 STARTS, COUNTS = (4, 5, 6, 7), (2, 4)
 
@@ -280,7 +287,7 @@ class Model:
         found = self.known.get(token)
         if found is None:
             found = tuple(f for f in self.features(token) if f in self.used)
-            if len(self.known) > 300_000:
+            if len(self.known) > KNOWN:
                 self.known.clear()
             self.known[token] = found
         return found
