@@ -79,6 +79,16 @@ def bbox_tiles(w: Column, s: Column, e: Column, n: Column, zoom: Column | int) -
     return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(x.alias("x"), y.alias("y")))))
 
 
+def children(x: Column, y: Column, zoom: Column | int, box: tuple[Column, Column, Column, Column]) -> Column:
+    """An array of structs x, y: the tiles one zoom down within a tile, of those that a box in degrees meets."""
+    z = _long(zoom)
+    w, s, e, n = box
+    inner = (F.greatest(w, west(x, z)), F.greatest(s, north(y + 1, z)), F.least(e, west(x + 1, z)), F.least(n, north(y, z)))
+    met = (inner[0] < inner[2]) & (inner[1] < inner[3])
+    own = lambda t: (F.shiftright(t["x"], 1) == x) & (F.shiftright(t["y"], 1) == y)
+    return F.when(met, F.filter(bbox_tiles(*inner, z + 1), own)).otherwise(F.array().cast("array<struct<x:bigint,y:bigint>>"))
+
+
 def zoom_for(resolution: Column, strategy: str = "auto", block_zoom: int = 8) -> Column:
     """The zoom whose pixels are nearest to a resolution in metres: the finer (upper), the coarser (lower), or
     by rounding half to even (auto)."""

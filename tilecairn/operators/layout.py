@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilecairn.functions import cells
-from tilecairn.plans.ranges import in_zoom
 from tilecairn.sources import metadata as M
 from tilecairn.sources.tables import GROUP_ROWS, _order, read_metadata, read_table
 
@@ -27,15 +26,22 @@ def blob_bytes(tiles: DataFrame, bands: list[str]) -> Column:
 
 
 def partition_zoom(native: int, tiles: int, size: int, target: int = TARGET_BYTES) -> int | None:
-    """The ancestor zoom at which files come near the target: the native zoom less log4 of the tiles that fill a
-    file, rounded half to even, from 0 to native - 1; None where that would give fewer than two files."""
+    """partition_zoom_of() for numbers on the driver."""
     if not tiles:
         return None
-    up = math.log(max(1.0, target / max(1.0, size / tiles)), 4)
-    z = max(0, min(native - 1, round(native - up)))
+    z = max(0, min(native - 1, round(native - math.log(max(1.0, target / max(1.0, size / tiles)), 4))))
     return z if tiles / 4 ** (native - z) >= 2 else None
 
 
+def partition_zoom_of(native: Column | int, tiles: Column, size: Column, target: int = TARGET_BYTES) -> Column:
+    """The ancestor zoom at which files come near the target: the native zoom less log4 of the tiles that fill a
+    file, rounded half to even, from 0 to native - 1; null where that would give fewer than two files."""
+    top = native if isinstance(native, Column) else F.lit(native)
+    up = F.log(F.greatest(F.lit(1.0), F.lit(float(target)) / F.greatest(F.lit(1.0), size / tiles))) / math.log(4.0)
+    z = F.greatest(F.lit(0), F.least(top - 1, F.bround(top - up).cast("int")))
+    return F.when((tiles > 0) & (tiles / F.pow(F.lit(4.0), top - z) >= 2), z)
+
+
 def with_ancestor(tiles: DataFrame, zoom: int) -> DataFrame:
     """tiles with part_cell, the ancestor at a zoom, and part_file, its name z{zoom}_{x}_{y}."""
     p = cells.parent(F.col("block"), zoom)
@@ -47,6 +53,11 @@ def partition_summary(tiles: DataFrame, bands: list[str], zoom: int) -> DataFram
     return with_ancestor(tiles, zoom).groupBy("part_file").agg(F.count("*").alias("tiles"), blob_bytes(tiles, bands).alias("bytes"))
 
 
+def size_summary(parts: DataFrame) -> DataFrame:
+    """One row of partition_summary(): files, least, most and mean bytes."""
+    return parts.agg(F.count("*").alias("files"), F.min("bytes").alias("least"), F.max("bytes").alias("most"), F.avg("bytes").alias("mean"))
+
+
 def _standalone(tiles: DataFrame, key: str, path: str, meta: dict, patch, group_rows: int) -> None:
     """Write tiles partitioned by a key so that each part is a table by itself, with a metadata row of its own.
 
@@ -84,8 +95,8 @@ def partition(spark: SparkSession, path: str, to: str, zoom: int | None = None,
     native = meta["tiling"]["max_zoom"]
     tiles = read_table(spark, path, zoom=native)
     if zoom is None:
-        row = tiles.agg(F.count("*").alias("n"), blob_bytes(tiles, M.band_columns(tiles)).alias("b")).first()
-        zoom = partition_zoom(native, row["n"], row["b"] or 0, target)
+        row = tiles.agg(F.count("*").alias("n"), blob_bytes(tiles, M.band_columns(tiles)).alias("b"))
+        zoom = row.select(partition_zoom_of(native, F.col("n"), F.coalesce("b", F.lit(0)), target).alias("z")).first()["z"]
     placed = with_ancestor(tiles, zoom if zoom is not None else 0).drop("part_cell")
     if zoom is None:
         placed = placed.withColumn("part_file", F.lit("z0_0_0"))
@@ -101,7 +112,7 @@ def file_splits(tiles: DataFrame, bands: list[str], target: int) -> DataFrame:
     a fixed number, so no window spans the table.
     """
     size = sum((F.coalesce(F.octet_length(b), F.lit(0)) for b in bands), F.lit(0)).cast("long")
-    sized = tiles.select(F.col("block"), size.alias("size")).withColumn("bin", F.hash("block").cast("long") * 0 + cells.right(F.col("block"), 44))
+    sized = tiles.select(F.col("block"), size.alias("size")).withColumn("bin", cells.right(F.col("block"), 44))
     inner = Window.partitionBy("bin").orderBy("block")
     before = F.sum("size").over(inner) - F.col("size")
     bins = sized.groupBy("bin").agg(F.sum("size").alias("total"))
@@ -124,8 +135,7 @@ def within_budget(df: DataFrame, order: list[Column], size: str, budget: float,
 
 
 def greedy(sizes: list[float], budget: float) -> list[int]:
-    """Places of the sizes that are taken one after the other while they fit; what doesn't is passed over. For the
-    lists of candidates on the driver."""
+    """Places of the sizes that greedy_rows() would take, for a list on the driver."""
     out, left = [], budget
     for i, s in enumerate(sizes):
         if s <= left:
@@ -134,5 +144,11 @@ def greedy(sizes: list[float], budget: float) -> list[int]:
     return out
 
 
-def native_tiles(tiles: DataFrame, zoom: int) -> DataFrame:
-    return tiles.where(in_zoom(F.col("block"), zoom))
+def greedy_rows(df: DataFrame, order: list[str], size: str, budget: float, groups: str) -> DataFrame:
+    """In each group the rows that are taken one after the other, in order, while they fit a budget; what doesn't is
+    passed over. For candidates, of which a group has a list that fits a row."""
+    listed = df.groupBy(groups).agg(F.sort_array(F.collect_list(F.struct(*order, F.struct(*df.columns).alias("row")))).alias("_all"))
+    take = lambda s, c: F.when(c["row"][size] <= s["left"], F.struct((s["left"] - c["row"][size]).alias("left"), F.concat(s["rows"], F.array(c["row"])).alias("rows"))).otherwise(s)
+    kind = f"array<{df.select(F.struct(*df.columns).alias('r')).schema['r'].dataType.simpleString()}>"
+    start = F.struct(F.lit(float(budget)).alias("left"), F.array().cast(kind).alias("rows"))
+    return listed.select(F.explode(F.aggregate("_all", start, take, lambda s: s["rows"])).alias("r")).select("r.*")

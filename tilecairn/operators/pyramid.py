@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilecairn.functions.cells import cell_x, cell_y, parent, resolution
+from tilecairn.functions.cells import cell_x, cell_y, left, parent, resolution
 from tilecairn.functions.pixels import TYPES, decode, encode, valid
 from tilecairn.plans.scratch import cut
 
@@ -171,7 +171,8 @@ def pyramid_counts(tiles: DataFrame, least_zoom: int) -> DataFrame:
 
 def hillslope(tiles: DataFrame, band: str, kind: str, size: int, pixel_metres: float, nodata=None, compression: str | None = "gzip") -> DataFrame:
     """block and slope (float32 degrees) of a terrain of one zoom, by Horn's method. A tile gets the rows and columns
-    of pixels along its borders from its eight neighbours; where there is none, the border repeats."""
+    of pixels along its borders from its eight neighbours; where there is none, as beyond the square world, the
+    border repeats."""
     z = resolution(F.col("block"))
     from tilecairn.functions.cells import tile_to_cell
 
@@ -186,7 +187,7 @@ def hillslope(tiles: DataFrame, band: str, kind: str, size: int, pixel_metres: f
     sent = read.select("block", cell_x(F.col("block")).alias("_x"), cell_y(F.col("block")).alias("_y"), z.alias("_z"), "_own", "_e")
     offer = lambda i, dx, dy: F.struct(F.lit(i).alias("i"), (F.col("_x") + dx).alias("x"), (F.col("_y") + dy).alias("y"), (F.col("_own") if i == 4 else F.get("_e", F.lit(i))).alias("v"))
     offers = F.array(*(offer(i, dx, dy) for i, (dx, dy) in enumerate(moves)))
-    given = sent.select("_z", F.explode(offers).alias("o")).where("o.x >= 0 and o.y >= 0 and o.v is not null").select(tile_to_cell(F.col("o.x"), F.col("o.y"), F.col("_z")).alias("block"), "o.i", "o.v")
+    given = sent.select("_z", F.explode(offers).alias("o")).where((F.least("o.x", "o.y") >= 0) & (F.greatest("o.x", "o.y") < left(1, F.col("_z"))) & F.col("o.v").isNotNull()).select(tile_to_cell(F.col("o.x"), F.col("o.y"), F.col("_z")).alias("block"), "o.i", "o.v")
 
     @F.pandas_udf("binary")
     def slope(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -116,6 +116,12 @@ def looks_like_tiles(df: DataFrame) -> bool:
 
 
 def time_axis(df: DataFrame, units: str, calendar: str = "standard") -> dict:
-    """The time entry of the metadata from the distinct steps of a table."""
-    row = df.agg(F.min("time_cf").alias("a"), F.max("time_cf").alias("b"), F.count_distinct("time_cf").alias("n")).first()
-    return {"cf:units": units, "cf:calendar": calendar, "count": row["n"], "range": [row["a"], row["b"]]}
+    """The time entry of the metadata from the distinct steps of a table: units, calendar, number, first and last, and
+    the resolution as an ISO 8601 duration where the steps are regular."""
+    from tilecairn.functions.cftime import axis_interval, iso_duration, parse_units
+
+    steps = df.select("time_cf").distinct()
+    row = steps.agg(F.min("time_cf").alias("a"), F.max("time_cf").alias("b"), F.count("*").alias("n")).first()
+    even = axis_interval(steps.withColumn("_axis", F.lit(0)), ["_axis"], "time_cf")
+    named = even.select(F.when(F.col("regular"), iso_duration(parse_units(F.lit(units))["unit"], F.col("interval"))).alias("d")).first()
+    return {"cf:units": units, "cf:calendar": calendar, "resolution": named and named["d"], "count": row["n"], "range": [row["a"], row["b"]]}

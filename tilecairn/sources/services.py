@@ -128,7 +128,8 @@ def tiles_of_box(spark: SparkSession, box: tuple, zoom: int) -> DataFrame:
     w, s, e, n = box
     nudge = 1e-11
     (x0, y0), (x1, y1) = tile_at(w, n, zoom), tile_at(e - nudge, s + nudge, zoom)
-    rows = spark.range(y0, max(y0, y1) + 1).select(F.explode(F.sequence(F.lit(x0), F.lit(max(x0, x1)))).cast("long").alias("x"), F.col("id").alias("y"), F.lit(zoom).alias("z"))
+    across = F.sequence(F.lit(x0).cast("long"), F.lit(max(x0, x1)).cast("long"))
+    rows = spark.range(y0, max(y0, y1) + 1).select(F.explode(across).alias("x"), F.col("id").alias("y"), F.lit(zoom).alias("z"))
     return rows.withColumn("block", tile_to_cell(F.col("x"), F.col("y"), zoom))
 
 

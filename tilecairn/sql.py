@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+import warnings
 from functools import lru_cache
 
 import numpy as np
@@ -136,7 +137,9 @@ def _udf(function, kind: str):
         out = [None if any(v is None or v != v for v in row) else function(*row) for row in _rows(columns)]
         return frame(out) if kind == STATS else pd.Series(out, dtype=object)
 
-    return F.pandas_udf(run, kind, PandasUDFType.SCALAR)
+    with warnings.catch_warnings():  # type hints can't say that there may be any number of columns
+        warnings.simplefilter("ignore", UserWarning)
+        return F.pandas_udf(run, kind, PandasUDFType.SCALAR)
 
 
 #: SQL names and types of these functions.
