@@ -47,3 +47,6 @@ def test_repetition_leetspeak_and_spacing():
     for n in (63, 64, 65, 66, 200):  # no length at which decoding ends
         assert m.restored("stup" + "i" * (n - 5) + "d") == "stupid"
     assert m.restored("ааа") == "ааа"  # letters of another alphabet stay
+    assert m.restored("$tupid") == "stupid" and m.restored("!idiot!!") == "idiot" and m.restored("(the,") == "the"
+    used = Model(LETTERS, {"stupid ": 1.0, "idio": 1.0})
+    assert all(set(used.hits(t)) == set(f for f in used.features(t) if f in used.used) for t in ("stupid,", "(idiot)", "$tupid", "1d10t", "the", "st.upid", "stupid###", "i d i o t", "x"))

@@ -88,6 +88,8 @@ def lattice(token: str, run: bool = False) -> list[list[tuple[str, float]]]:
             choice = [(c, PLAIN)]
         elif c in LEET:
             choice = [(x, STANDS + 0.3 * k) for k, x in enumerate(LEET[c])]
+            if not i and not c.isalnum():
+                choice.append(("", STANDS))  # a mark before the word
         elif c in MASKS:
             choice = [(x, MASK) for x in MASKED]
         else:
@@ -245,12 +247,11 @@ class Model:
     def restored(self, token: str, run: bool = False) -> str:
         """The words behind a token by viterbi(): as it stands, if it has but letters of which none is doubled, which is
         all that its lattice has then, or has no letter. run: it is a run of single characters."""
-        plain = token.strip(EDGE)
-        if plain.isalpha() and not run and not REPEATED.search(plain):
-            return plain
         odd = token.rstrip(TAIL).lstrip(HEAD)
+        if odd.isalpha() and not run and not REPEATED.search(odd):
+            return odd
         if not any(c in _INDEX for c in odd):
-            return plain
+            return token.strip(EDGE)
         return viterbi(odd, self.letters, run)
 
     def features(self, token: str) -> tuple[str, ...]:
@@ -284,12 +285,16 @@ class Model:
         return (word + " ", *(word[:n] for n in STARTS if len(word) >= n)) if len(word) > 2 else ()
 
     def hits(self, token: str) -> tuple[str, ...]:
-        found = self.known.get(token)
+        """The features of a token that are in use. A word with marks around it is looked up as the word."""
+        odd = token.rstrip(TAIL).lstrip(HEAD)
+        plain = odd.isalpha() and not REPEATED.search(odd)
+        key = odd if plain else token
+        found = self.known.get(key)
         if found is None:
-            found = tuple(f for f in self.features(token) if f in self.used)
+            found = tuple(f for f in (self.word_features(odd) if plain else self.features(token)) if f in self.used)
             if len(self.known) > KNOWN:
                 self.known.clear()
-            self.known[token] = found
+            self.known[key] = found
         return found
 
     def score(self, text: str) -> tuple[float, list[str]]:
