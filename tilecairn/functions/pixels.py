@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gzip
+import io
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -50,13 +52,34 @@ def decode(blob: bytes, kind: str, compression: str | None = None) -> np.ndarray
     return np.frombuffer(stretch(blob, compression), TYPES[kind])
 
 
-def encode_bands(bands: list[np.ndarray], kind: str, compression: str | None = "gzip") -> bytes:
-    """Bands of equal size as one blob in which the bands of a pixel stand together."""
-    return encode(np.stack([np.asarray(b).ravel() for b in bands], axis=-1), kind, compression)
+def _pictures():
+    """The image library, where there is one."""
+    try:
+        from PIL import Image
+    except ImportError as e:
+        raise ValueError("jpeg and webp need an image library, which is not installed") from e
+    return Image
+
+
+def encode_bands(bands: list[np.ndarray], kind: str, compression: str | None = "gzip", quality: int = 85) -> bytes:
+    """Bands of equal size as one blob in which the bands of a pixel stand together. The lossy codecs take bytes only,
+    of one or three bands (jpeg) or also four (webp), and need an image library."""
+    stacked = np.stack([np.asarray(b).ravel() for b in bands], axis=-1)
+    if compression not in LOSSY:
+        return encode(stacked, kind, compression)
+    if kind != "uint8" or len(bands) not in LOSSY[compression] or not 1 <= quality <= 100:
+        raise ValueError(f"{compression} takes {' or '.join(map(str, LOSSY[compression]))} bands of uint8 and a quality from 1 to 100")
+    side = math.isqrt(len(stacked))
+    picture = _pictures().fromarray(stacked.astype(np.uint8).reshape(side, side, len(bands)) if len(bands) > 1 else stacked.astype(np.uint8).reshape(side, side))
+    out = io.BytesIO()
+    picture.save(out, format=compression.upper(), quality=quality)
+    return out.getvalue()
 
 
 def decode_bands(blob: bytes, kind: str, count: int, compression: str | None = None) -> np.ndarray:
     """An array of count rows, one a band."""
+    if compression in LOSSY:
+        return np.asarray(_pictures().open(io.BytesIO(blob)), np.uint8).reshape(-1, count).T
     return decode(blob, kind, compression).reshape(-1, count).T
 
 
@@ -114,13 +137,24 @@ def _physical(values: np.ndarray, scale: float, offset: float, nodata) -> list:
     return out.tolist() if mask.all() else [v if m else None for v, m in zip(out.tolist(), mask.tolist(), strict=True)]
 
 
-def interleave_udf(kind: str, compression: str | None = "gzip"):
+def plain_udf(kind: str):
+    """A function of a blob that gives it without compression."""
+
+    @F.pandas_udf("binary")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(lambda b: None if b is None else decode(b, kind).tobytes())
+
+    return run
+
+
+def interleave_udf(kind: str, compression: str | None = "gzip", quality: int = 85):
     """A function of an array of single-band blobs that gives one blob of all bands, pixel by pixel."""
 
     @F.pandas_udf("binary")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
-            yield s.map(lambda bands: None if bands is None else encode_bands([decode(b, kind) for b in bands], kind, compression))
+            yield s.map(lambda bands: None if bands is None else encode_bands([decode(b, kind) for b in bands], kind, compression, quality))
 
     return run
 

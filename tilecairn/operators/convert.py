@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tilecairn.functions import mercator as merc
 from tilecairn.functions.cells import cell_x, cell_y, checked_block_size, tile_to_cell
-from tilecairn.functions.pixels import _combined, encode, interleave_udf
+from tilecairn.functions.pixels import LOSSY, encode, interleave_udf, plain_udf
 from tilecairn.functions.stats import merged_of_columns, stat_columns, summary_udf
 from tilecairn.operators.pyramid import pyramid
 from tilecairn.plans.ranges import in_zoom
@@ -33,6 +33,13 @@ class Overviews(StrEnum):
     NONE = "none"
 
 
+class Codec(StrEnum):
+    GZIP = "gzip"
+    NONE = "none"
+    JPEG = "jpeg"
+    WEBP = "webp"
+
+
 class Layout(StrEnum):
     SEQUENTIAL = "sequential"
     INTERLEAVED = "interleaved"
@@ -99,17 +106,21 @@ def build_table(spark: SparkSession, native: DataFrame, path: str, kind: str, zo
     """
     checked_block_size(size)
     names = [c for c in native.columns if c.startswith("band_")]
+    if compression in LOSSY and layout != Layout.INTERLEAVED:
+        raise ValueError(f"{compression} needs the interleaved layout")
     if least_zoom is None:
         d = dimensions(native, zoom, size).first()
         least_zoom = zoom if d["blocks"] == 0 else max(0, zoom - max(0, round(math.log2(math.hypot(d["width"], d["height"]) / merc.LEAST_OVERVIEW))))
     tiles = native if overviews == Overviews.NONE else pyramid(native, names, kind, size, zoom, least_zoom, resampling, nodata, "gzip", own)
+    if layout == Layout.SEQUENTIAL and compression in (None, "none"):
+        tiles = tiles.select(*(c for c in tiles.columns if c not in names), *(plain_udf(kind)(b).alias(b) for b in names))
     counted = with_statistics(tiles, names, kind, nodata)
     if not keep_empty:
         counted = counted.where(" or ".join(f"{b}_count > 0" for b in names))
     stat = [f"{b}{s}" for b in names for s in M.SUFFIXES]
     kept = [c for c in counted.columns if c not in names and c not in stat]
     if layout == Layout.INTERLEAVED:
-        counted = counted.select(*kept, interleave_udf(kind, compression)(F.array(*names)).alias("pixels"), *stat)
+        counted = counted.select(*kept, interleave_udf(kind, compression, quality or 85)(F.array(*names)).alias("pixels"), *stat)
     staged = f"{path.rstrip('/')}.staged"
     counted.write.mode("overwrite").parquet(staged)
     done = spark.read.schema(counted.schema).parquet(staged)
@@ -131,5 +142,3 @@ def build_table(spark: SparkSession, native: DataFrame, path: str, kind: str, zo
     remove(spark, staged)
     return meta
 
-
-__all__ = ["Layout", "Overviews", "ZoomStrategy", "_combined", "array_tiles", "build_table", "dimensions", "pixel_tiles", "scan", "with_statistics"]
