@@ -14,6 +14,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tilecairn.llm.common import modest_batches
+
 #: A place where a text can be cut without changing its matches: a match of the pattern holds white
 #: space only at its start, so one that ends in these characters never goes on over white space.
 SAFE_CUT = re.compile(r"(?<=[0-9A-Za-z.,;:!?])[ \n]")
@@ -115,6 +117,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc
     encoded as the empty one (no ids, the hash of no bytes); a null key stays null; repeated rows give
     repeated rows; further columns of docs are not read; an empty table gives an empty table.
     """
+    modest_batches(docs.sparkSession)
     fields = [T.StructField("key", docs.schema[key].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     schema = T.StructType(fields + [T.StructField("ids", T.BinaryType())] * keep_ids)
     out = docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(partial(_encode_batches, path=ranks_path, pattern=pattern, keep=keep_ids), schema)

@@ -14,10 +14,20 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 #: Regular expression of a word: a longest run of other characters.
 WORD = r"[^ \t\n\x0B\f\r]+"
-#: Rows of an Arrow batch while a scratch table is written.
+#: Rows of an Arrow batch at most, in sessions whose texts go to Python.
 ARROW_ROWS = 1000
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Lower the session's rows of an Arrow batch to ARROW_ROWS, if there are more. A batch of whole texts by the
+    default number of rows is tens of MB outside the heap, twice while it grows, which the process keeps.
+    Operators that give texts to Python do this first, as the setting counts when their plan runs."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder for scratch tables: under spark.checkpoint.dir; where that is unset, a new local one if the
     executors are threads of this machine, else an error, as no other machine could read it."""
@@ -44,17 +54,10 @@ class Scratch:
         self.fs.deleteOnExit(path)
 
     def cut(self, df: DataFrame) -> DataFrame:
-        """Write df and return a frame that reads it; the shuffle files behind df can then go. Rows go to Python in
-        batches of ARROW_ROWS meanwhile, as those with texts or sets are large, and a batch is held on both sides."""
+        """Write df and return a frame that reads it; the shuffle files behind df can then go."""
         self.n += 1
         path = f"{self.root}/t{self.n}"
-        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = self.spark.conf.get(name)
-        self.spark.conf.set(name, min(int(before), ARROW_ROWS) if int(before) > 0 else ARROW_ROWS)
-        try:
-            df.write.parquet(path)
-        finally:
-            self.spark.conf.set(name, before)
+        df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilecairn.llm.common import SPACES, Scratch, small_batches
+from tilecairn.llm.common import SPACES, Scratch, modest_batches, small_batches
 
 SPACE_BYTES = SPACES.encode()
 #: Bytes of a block of normalised text, and of text given out at a time.
@@ -77,6 +77,7 @@ def name_documents(docs: DataFrame, scratch: Scratch, key: str, text: str, block
     PAD, which names nothing), distinct pairs are sorted and named, and so on until each document has one name, at the level
     that its number of blocks gives.
     """
+    modest_batches(docs.sparkSession)
     source = docs.select(docs[key].alias("key"), F.coalesce(docs[text], F.lit("")).alias("text"))
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField("key", kind), T.StructField("n_chars", T.LongType()), T.StructField("text_sha256", T.StringType()), T.StructField("marks", T.ArrayType(T.LongType()))])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tilecairn.llm.common import SPACES, small_batches
+from tilecairn.llm.common import SPACES, modest_batches, small_batches
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 RUN = re.compile(f"[{SPACES}]+")
@@ -413,6 +413,7 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", page
     A narrow job without a shuffle. A null or empty page has the empty text; null keys and urls stay null;
     repeated rows come back as often; an empty table gives an empty table; further columns are not read.
     """
+    modest_batches(pages.sparkSession)
     schema = T.StructType([T.StructField("key", pages.schema[key].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     out = pages.select(pages[key].alias("key"), pages[url].cast("string").alias("url"), pages[page].alias("html")).mapInArrow(_extract, schema)
     return out.withColumnRenamed("key", key)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilecairn.llm.bpe import json_encoding
+from tilecairn.llm.common import modest_batches
 
 #: Windows that one differencing balances, and the longest piece given to it; both bound a task's work.
 GROUP_WINDOWS, LONGEST_PIECE = 128, 256
@@ -145,6 +146,7 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int = 102
     A null or empty text is the end id alone; a null key stays null; repeated rows are packed each; an
     empty table gives no rows; further columns are not read.
     """
+    modest_batches(docs.sparkSession)
     fields = [T.StructField("key", docs.schema[key].dataType), *(T.StructField(c, T.LongType()) for c in _Packer.COLUMNS)]
     out = docs.select(docs[key].alias("key"), F.coalesce(docs[text], F.lit("")).alias("text")).mapInArrow(partial(_pack_batches, path=tokenizer_path, pattern=pattern, capacity=capacity, end_id=end_id), T.StructType(fields))
     return out.withColumnRenamed("key", key)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilecairn.llm.common import full_text, shuffle_partitions, small_batches, whole_numbers
+from tilecairn.llm.common import full_text, modest_batches, shuffle_partitions, small_batches, whole_numbers
 from tilecairn.llm.rolling import SIDE_BASE, mixed, window_hashes, word_hashes
 
 #: Postings gathered before a flush, bytes of text that a bucket's postings stand for at most on
@@ -40,6 +40,7 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The columns doc (for a null key the largest long), row (a hash of the text), text and null (whether the
     key is). Keys are of an integer type."""
     whole_numbers(docs, key)
+    modest_batches(docs.sparkSession)
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(full_text(text)).alias("row"), full_text(text).alias("text"), F.col(key).isNull().alias("null"))
 
 

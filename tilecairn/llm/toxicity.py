@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilecairn.llm.common import Scratch, full_text, small_batches
+from tilecairn.llm.common import Scratch, full_text, modest_batches, small_batches
 
 # Letters that a character may stand for, in the order of how common that is.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "<": "c", "{": "c", "€": "e", "£": "l", "¡": "i", "§": "s"}
@@ -403,6 +403,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, toxic: str, scr
     among all tried is under one in a hundred. A ridge logistic regression weighs them, in which a copy
     counts the less the more copies there are; a feature of 30 such toxic texts and no clean one is sure.
     """
+    modest_batches(docs.sparkSession)
     grams = docs.select(full_text(text).alias("text")).mapInArrow(_count_letters, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     counts = np.zeros(SIZE**3, np.int64)  # at most SIZE^3 rows, whatever the corpus
     for r in grams.collect():
@@ -455,6 +456,7 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     from pyspark.sql import types as T
 
+    modest_batches(docs.sparkSession)
     kept = docs.drop("score", "reasons")
     given = kept.select(full_text(text).alias("text"), F.struct(*kept.columns).alias("base"))
     schema = T.StructType([T.StructField("base", given.schema["base"].dataType), T.StructField("score", T.DoubleType()), T.StructField("reasons", T.ArrayType(T.StringType()))])
