@@ -28,3 +28,12 @@ def connect(links: DataFrame, scratch: Scratch) -> DataFrame:
         if done:
             scratch.drop(ends)
             return labels
+
+
+def joined(component: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (node, component) with more links (a, b): only the components that these join are connected anew."""
+    of = lambda end: component.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+    roots = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    top = connect(roots, scratch).select(F.col("node").alias("component"), F.col("component").alias("_top"))
+    alone = more.select(F.col("a").alias("node")).union(more.select("b")).distinct().join(component, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return component.unionByName(alone).join(top, "component", "left").select("node", F.coalesce("_top", "component").alias("component"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilecairn.llm.common import Scratch, shuffle_partitions, small_batches
-from tilecairn.llm.components import connect
+from tilecairn.llm.components import connect, joined
 from tilecairn.llm.postings import AT_ONCE, ROSTER, Hasher, answers, bucket_count, joined_bits, keyed
 from tilecairn.llm.rolling import mixed
 
@@ -234,16 +234,15 @@ def link_documents(docs: DataFrame, width: int = 3, percent: int = 90, key: str
     shared = scratch.cut(keys.join(counts, "key").select("key", "rep", "partial", "members", "lead"))
     ends = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     stars = shared.where("rep <> lead").select(*ends(F.col("rep"), F.col("lead"))).distinct()
-    links = scratch.cut(_verified(stars, sets.select("rep", "n", "tokens"), percent))
-    component = connect(links, scratch)
-    pairs = scratch.cut(_open_pairs(shared.select("key", "rep", "partial"), sets, component, percent, scratch))
+    component = connect(_verified(stars, sets.select("rep", "n", "tokens"), percent), scratch)
+    pairs = _open_pairs(shared.select("key", "rep", "partial"), sets, component, percent, scratch)
     more = scratch.cut(_verified(pairs, sets.select("rep", "n", "tokens"), percent))
     if more.limit(1).count():
-        component = connect(links.unionByName(more), scratch)
+        component = joined(component, more, scratch)
     linked = named.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("owner", "other", F.col("first").alias("class"), F.coalesce("component", "rep").alias("component"))
     least = linked.groupBy("component").agg(F.min("class").alias("least"))
     known = scratch.cut(linked.join(least, "component").select("owner", "other", "class", "least"))
-    for table in (named, sets, shared, links, pairs, more):
+    for table in (named, sets, shared, more):
         scratch.drop(table)
     kind, own = docs.schema[key].dataType, F.struct("doc", "null", "row")
     back = lambda c: F.when(~c["null"], c["doc"]).cast(kind)
