@@ -264,22 +264,22 @@ def _lines(file, size: int = 1 << 20):
 
 def grid_index(file, every: int = GridImage.EVERY) -> tuple[dict[str, float], list[int]]:
     """The fields of an ASCII grid's header, and where every so many rows begin, and the end: one pass over the file.
-    Rows may be broken into lines."""
+    Rows may be broken into lines, but every so many rows one has to begin on a line of its own."""
     header: dict[str, float] = {}
     at, values, offsets = 0, 0, []
-    tail = b""
     for line in _lines(file):
         parts = line.split()
         if len(parts) == 2 and parts[0][:1].isalpha() and not offsets:
             header[parts[0].decode().lower()] = float(parts[1])
         elif parts:
+            if not header.keys() >= {"ncols", "nrows"}:
+                raise ValueError("neither a TIFF file nor an ASCII grid")
             if values % (int(header["ncols"]) * every) == 0:
                 offsets.append(at)
             values += len(parts)
         at += len(line)
-        tail = line
-    if values != header.get("ncols", 0) * header.get("nrows", 0) or not tail:
-        raise ValueError(f"the grid has {values} values")
+    if not values or values != header["ncols"] * header["nrows"] or len(offsets) != -(-int(header["nrows"]) // every):
+        raise ValueError(f"the grid has {values} values, or its rows do not begin on lines")
     return header, [*offsets, at]
 
 

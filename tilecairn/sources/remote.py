@@ -84,7 +84,8 @@ def elevation_page(url: str, box: tuple[float, float, float, float], after: int
     rows = []
     for i in raw.get("items", []):
         b = i.get("boundingBox") or {}
-        rows.append((i.get("title"), i.get("downloadURL"), i.get("sizeInBytes"), i.get("publicationDate"), b.get("minX"), b.get("minY"), b.get("maxX"), b.get("maxY")))
+        place = (None if b.get(k) is None else float(b[k]) for k in ("minX", "minY", "maxX", "maxY"))
+        rows.append((i.get("title"), i.get("downloadURL"), i.get("sizeInBytes"), i.get("publicationDate"), *place))
     seen = (after or 0) + len(rows)
     return Page(rows, seen if rows and seen < raw.get("total", 0) else None)
 

@@ -126,8 +126,8 @@ def service_plan(info: dict, size: int, box: tuple | None = None, box_crs: str =
 def tiles_of_box(spark: SparkSession, box: tuple, zoom: int) -> DataFrame:
     """Rows x, y, z, block: the tiles at a zoom that a box in degrees meets, made row by row by the tasks."""
     w, s, e, n = box
-    nudge = 1e-11
-    (x0, y0), (x1, y1) = tile_at(w, n, zoom), tile_at(e - nudge, s + nudge, zoom)
+    nudge = 1e-9  # what lies on a border of tiles meets but one of them
+    (x0, y0), (x1, y1) = tile_at(w + nudge, n - nudge, zoom), tile_at(e - nudge, s + nudge, zoom)
     across = F.sequence(F.lit(x0).cast("long"), F.lit(max(x0, x1)).cast("long"))
     rows = spark.range(y0, max(y0, y1) + 1).select(F.explode(across).alias("x"), F.col("id").alias("y"), F.lit(zoom).alias("z"))
     return rows.withColumn("block", tile_to_cell(F.col("x"), F.col("y"), zoom))
