@@ -411,7 +411,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, toxic: str, scr
     blank = Model(Letters.of(counts))
     sample = labels.where(F.col(toxic).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(toxic).cast("int").alias("toxic"))
     sample = sample.groupBy("_key").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_key"), "_key").limit(most_labelled)
-    rows = scratch.cut(docs.join(F.broadcast(sample), docs[key] == F.col("_key")).select(full_text(text).alias("text"), "toxic"))
+    given = docs.select(F.col(key).alias("_id"), full_text(text).alias("text"))
+    rows = scratch.cut(given.join(F.broadcast(sample), F.col("_id") == F.col("_key")).select("text", "toxic"))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
