@@ -15,7 +15,8 @@ def connect(links: DataFrame, scratch: Scratch) -> DataFrame:
     travel ever further; it ends when none changes. Least labels are partial sums, and a node with very
     many links has one row a task in them.
     """
-    ends = scratch.cut(links.select(F.col("a").alias("node"), F.col("b").alias("near")).union(links.select(F.col("b").alias("node"), F.col("a").alias("near"))).where("node <> near").distinct())
+    way = lambda a, b: F.struct(F.col(a).alias("node"), F.col(b).alias("near"))
+    ends = scratch.cut(links.where("a <> b").select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("e")).select("e.*").distinct())
     labels = table = scratch.cut(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("component")))
     while True:
         around = ends.join(labels.select(F.col("node").alias("near"), "component"), "near").groupBy("node").agg(F.min("component").alias("least"))
