@@ -7,7 +7,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
-from functools import cached_property, partial
+from functools import cached_property, lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -214,8 +214,10 @@ def parts(token: str) -> list[tuple[str, bool]]:
     return out
 
 
-#: Tokens whose features a worker keeps.
-KNOWN = 150_000
+#: Tokens whose features a worker keeps, and as many of those before.
+KNOWN = 120_000
+#: Tokens whose features a worker keeps while the model is fitted.
+FITTED = 60_000
 #: Starts of words that are features, by letters, and counts of a feature in a text that are features too.
 STARTS, COUNTS = (4, 5, 6, 7), (2, 4)
 
@@ -243,6 +245,7 @@ class Model:
                 node = node.setdefault(c, {})
             node[""] = True
         self.known: dict[str, tuple[str, ...]] = {}
+        self.before: dict[str, tuple[str, ...]] = {}
 
     def restored(self, token: str, run: bool = False) -> str:
         """The words behind a token by viterbi(): as it stands, if it has but letters of which none is doubled, which is
@@ -286,15 +289,20 @@ class Model:
 
     def hits(self, token: str) -> tuple[str, ...]:
         """The features of a token that are in use. A word with marks around it is looked up as the word."""
-        odd = token.rstrip(TAIL).lstrip(HEAD)
-        plain = odd.isalpha() and not REPEATED.search(odd)
-        key = odd if plain else token
-        found = self.known.get(key)
+        found = self.known.get(token)
         if found is None:
-            found = tuple(f for f in (self.word_features(odd) if plain else self.features(token)) if f in self.used)
-            if len(self.known) > KNOWN:
-                self.known.clear()
-            self.known[key] = found
+            found = self.before.get(token)
+            if found is None:
+                odd = token.rstrip(TAIL).lstrip(HEAD)
+                if odd.isalpha() and not REPEATED.search(odd):
+                    found = self.known.get(odd) if odd != token else None
+                    if found is None:
+                        found = tuple(f for f in self.word_features(odd) if f in self.used)
+                else:
+                    found = tuple(f for f in self.features(token) if f in self.used)
+            if len(self.known) >= KNOWN:
+                self.known, self.before = {}, self.known
+            self.known[token] = found
         return found
 
     def score(self, text: str) -> tuple[float, list[str]]:
@@ -309,8 +317,9 @@ def counted(words: Counter, features) -> list[str]:
     """The features of a text's tokens, and those of their counts."""
     n: Counter = Counter()
     for t, c in words.items():
-        for f in features(t):
-            n[f] += c
+        if found := features(t):
+            for f in found:
+                n[f] += c
     return [*n, *(f"{f}#{k}" for k in COUNTS for f, c in n.items() if c >= k)]
 
 
@@ -336,32 +345,37 @@ def _count_letters(batches):
 
 
 def _toxic_features(batches, model: Model):
+    features = lru_cache(FITTED)(model.features)
     for batch in batches:
         out = []
         for text in batch.column(0).to_pylist():
             found = tokens(text)
             g = group(found)
-            out += [(f, g) for f in counted(Counter(found), model.features)]
+            out += [(f, g) for f in counted(Counter(found), features)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64()), strict=True)], ["feature", "group"])
 
 
 def _clean_features(batches, model: Model, wanted: frozenset):
     n: Counter = Counter()
+    features = lru_cache(FITTED)(lambda token: tuple(f for f in model.features(token) if f in bare))
+    bare = frozenset(f.split("#")[0] for f in wanted)
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            n.update(f for f in counted(Counter(tokens(text)), model.features) if f in wanted)
+            n.update(f for f in counted(Counter(tokens(text)), features) if f in wanted)
     if n:
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["feature", "n"])
 
 
 def _examples(batches, model: Model, place: dict):
     """For each text its label, its group and the places of its features that are in use."""
+    bare = frozenset(f.split("#")[0] for f in place)
+    features = lru_cache(FITTED)(lambda token: tuple(f for f in model.features(token) if f in bare))
     for batch in batches:
         out = []
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = tokens(text)
-            out.append((label, group(words), [place[f] for f in counted(Counter(words), model.features) if f in place]))
+            out.append((label, group(words), [place[f] for f in counted(Counter(words), features) if f in place]))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["label", "group", "found"])
 
 
