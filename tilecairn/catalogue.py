@@ -906,3 +906,69 @@ def cell_windows(spark, d):
 
     w = windows(fx.points(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), 4)
     return w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "block", F.col("count").alias("n"), r("sum", 2).alias("total"))
+
+
+# Ways to read, and joins of unequal zooms.
+
+
+@query(f"WITH {FULL} SELECT block, {q('sum(w)')} AS total FROM px JOIN tl USING (t) GROUP BY block")
+def band_projection(spark, d):
+    t = tables.read_table(spark, _written_floats(spark, d), ["band_2"], Z)
+    assert not any(c.startswith("band_1") for c in t.columns)
+    return t.select("block", r(st.summary_udf("float32")("band_2")["sum"]).alias("total"))
+
+
+def _at_zoom_sql(zoom: int) -> str:
+    k = GZ - zoom
+    a, b = merc.tile_at(-100, 50, zoom), merc.tile_at(100, -50, zoom)
+    return f"WITH {GRID} SELECT {cell_sql(f'x >> {k}', f'y >> {k}', zoom)} AS block, sum(v)::double AS total FROM gp JOIN gt USING (t) WHERE x >> {k} BETWEEN {a[0]} AND {b[0]} AND y >> {k} BETWEEN {a[1]} AND {b[1]} GROUP BY x >> {k}, y >> {k}"
+
+
+@query(_at_zoom_sql(1))
+def read_region_coarsest(spark, d):
+    return tables.read_region(spark, _written(spark, d), box_area(-100, -50, 100, 50), "min").select("block", F.col("band_1_sum").alias("total"))
+
+
+@query(_at_zoom_sql(3))
+def read_region_auto(spark, d):
+    return tables.read_region(spark, _written(spark, d), box_area(-100, -50, 100, 50), "auto").select("block", F.col("band_1_sum").alias("total"))
+
+
+@query(f"WITH {GRID} SELECT {cell_sql('x >> 1', 'y >> 1', 2)} AS block, sum(v)::double AS total FROM gp JOIN gt USING (t) WHERE x >> 1 = 2 AND y >> 1 = 1 GROUP BY x >> 1, y >> 1")
+def read_tile(spark, d):
+    return tables.read_tile(spark, _written(spark, d), 2, 1, 2).select("block", F.col("band_1_sum").alias("total"))
+
+
+@query(f"WITH {FULL}, o AS (SELECT block, row_number() OVER (ORDER BY block) AS i, count(*) OVER () AS n FROM tl) SELECT block FROM o WHERE i IN (1, (n + 1) // 2, n)")
+def sampled_tiles(spark, d):
+    return checks.sampled(tables.read_table(spark, _written_floats(spark, d)).select("block"))
+
+
+@query(f"WITH {GRID}, f AS (SELECT t, x, y, block, sum(v)::double AS fine FROM gp JOIN gt USING (t) GROUP BY ALL), c AS (SELECT x >> 1 AS x, y >> 1 AS y, sum(fine) AS coarse FROM f GROUP BY ALL) SELECT f.block, fine, coarse FROM f JOIN c ON f.x >> 1 = c.x AND f.y >> 1 = c.y")
+def raster_join_of_two_zooms(spark, d):
+    t = tables.read_table(spark, _written(spark, d))
+    fine, coarse = (t.where(in_zoom(F.col("block"), z)).select("block", F.col("band_1_sum").alias(n)) for z, n in ((3, "fine"), (2, "coarse")))
+    return zonal.raster_join(fine, coarse, 3, 2).select("block", "fine", "coarse")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN strftime(TIMESTAMP '2000-01-01' + to_days((event_id % 100)::int), '%Y-%m-%d') END AS stamp FROM events")
+def cf_calendars(spark, d):
+    e = F.col("event_id")
+    calendar = F.element_at(F.array(*map(F.lit, ("Gregorian", "360_day", "noleap", "julian"))), (e % 4 + 1).cast("int"))
+    t = cftime.to_timestamp((e % 100).cast("double"), F.lit("days"), F.lit("2000-01-01").cast("timestamp_ntz"), calendar)
+    return fx.table(spark, d, "events").select("event_id", F.date_format(t, "yyyy-MM-dd").alias("stamp"))
+
+
+@query(f"WITH {POINTS} SELECT event_id, {q(f'lon * {merc.CIRCLE!r} / 360', 3)} AS x, {q(f'ln(tan(radians(lat) / 2 + pi() / 4)) * {merc.RADIUS!r}', 3)} AS y, {q('lon', 6)} AS lon, {q('lat', 6)} AS lat FROM points")
+def mercator_metres(spark, d):
+    p = fx.points(spark, d)
+    x, y = merc.metres(F.col("lon"), F.col("lat"))
+    p = p.select("event_id", x.alias("x"), y.alias("y"))
+    lon, lat = merc.degrees(F.col("x"), F.col("y"))
+    return p.select("event_id", r("x", 3).alias("x"), r("y", 3).alias("y"), r(lon, 6).alias("lon"), r(lat, 6).alias("lat"))
+
+
+@query(f"WITH {FULL}, {CENTRE} SELECT {STATS_SQL} FROM ce WHERE {INSIDE}")
+def zonal_stats_stored(spark, d):
+    zone = spark.createDataFrame([("a", WKT)], "zone string, wkt string")
+    return rounded_stats(zonal.zonal_stats(_stored(spark, d), zone, "band_1", "float32", Z, SIZE, stored=True))
