@@ -119,12 +119,6 @@ def zoom_range(z: int) -> tuple[int, int]:
     return BASE | z << 52, BASE | z << 52 | LOW52
 
 
-def descendant_range(x: int, y: int, z: int, zoom: int) -> tuple[int, int]:
-    """The range of ids of the cells at ``zoom`` within a tile."""
-    first = (cell_of(x, y, z) & ~ZOOM_BITS) & ~((1 << (52 - 2 * z)) - 1) | zoom << 52
-    return first, first | ((1 << (52 - 2 * z)) - 1)
-
-
 def is_power_of_two(n: int) -> bool:
     return n > 0 and n & (n - 1) == 0
 

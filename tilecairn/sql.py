@@ -231,7 +231,7 @@ def _table(spark: SparkSession, name: str, args: list) -> DataFrame:
 
 
 def _told(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
-    return df.withColumn("metadata", F.lit(json.dumps(tables.read_metadata(spark, path))))
+    return df.withColumn("metadata", F.lit(json.dumps(tables.cached_metadata(spark, path))))
 
 
 def query(spark: SparkSession, text: str) -> DataFrame:
