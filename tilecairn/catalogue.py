@@ -908,6 +908,17 @@ def cell_windows(spark, d):
     return w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "block", F.col("count").alias("n"), r("sum", 2).alias("total"))
 
 
+@query(f"WITH {FULL}, {CENTRE} SELECT count(*) AS n, {q('sum(v)')} AS total, {q('stddev_pop(v)')} AS sd FROM ce WHERE {INSIDE}")
+def sql_star_and_casts(spark, d):
+    area = f"'{WKT}'::GEOMETRY"
+    return names.query(spark, f"SELECT count AS n, round(sum, 4) + 0.0D AS total, round(stddev, 4) + 0.0D AS sd FROM (SELECT (ST_RegionStats(band_1, block, {area}, metadata)).* FROM read_tiles('{_written_floats(spark, d)}', {area}))")
+
+
+@query(f"WITH {FULL}, {TILE_BOX}, i AS (SELECT t FROM bx WHERE e > -170.3 AND w < 150.7 AND n > -70.2 AND s < 65.1) SELECT {q('sum(v)')} AS total, {q('avg(v)')} AS mean FROM px JOIN i USING (t)")
+def sql_other_dialect(spark, d):
+    return names.query(spark, f"SELECT round(SUM(RASTER_ST_SUMMARYSTATS(block, band_1).sum), 4) + 0.0D AS total, round(AVG((RASTER_ST_SUMMARYSTATS(block, band_1)).mean), 4) + 0.0D AS mean FROM read_tiles('{_written_floats(spark, d)}') WHERE RASTER_ST_INTERSECTS(block, ST_GEOGFROMTEXT('{WKT}'))")
+
+
 # Ways to read, and joins of unequal zooms.
 
 

@@ -157,6 +157,14 @@ MACROS = {
     "st_rastersummarystat": lambda a: f"element_at(map({', '.join(chr(39) + n + chr(39) + ', cast(st_rastersummarystats(' + a[1] + ', ' + a[3] + ').' + n + ' as double)' for n in NAMES)}), lower({a[2]}))",
     "st_regionstats": lambda a: _merge_sql(f"raster_region_part({', '.join(a)})"),
     "st_mergestats": lambda a: _merge_sql(a[0]),
+    # the same functions in another dialect, without metadata, which the rows have
+    "raster_st_value": lambda a: f"st_rastervalue({a[0]}, {a[1]}, {a[2]}, metadata)",
+    "raster_st_summarystats": lambda a: f"st_rastersummarystats({a[1]}, metadata)",
+    "raster_st_clip": lambda a: f"st_clip({a[1]}, {a[0]}, {a[2]}, metadata)",
+    "raster_st_intersects": lambda a: f"st_intersects({a[0]}, {a[1]})",
+    "st_rasterintersects": lambda a: f"st_intersects({a[0]}, {a[1]})",
+    "st_geogpoint": lambda a: f"st_point({a[0]}, {a[1]})",
+    "st_geogfromtext": lambda a: f"st_geomfromtext({a[0]})",
 }
 
 
@@ -192,6 +200,24 @@ def _calls(text: str, names: list[str]):
         yield m.start(), at, m[1].lower(), [a for a in args if a]
 
 
+def _spread_out(text: str) -> str:
+    """(struct).* as a generator of its fields, and casts to geometry left out; quoted text is passed over."""
+    text = re.sub(r"('(?:[^']|'')*')|::\s*(?:GEOMETRY|GEOGRAPHY)\b", lambda m: m[1] or "", text, flags=re.I)
+    opened, found, quoted = [], [], False
+    for i, c in enumerate(text):
+        if c == "'":
+            quoted = not quoted
+        elif not quoted and c == "(":
+            opened.append(i)
+        elif not quoted and c == ")" and opened:
+            start = opened.pop()
+            if star := re.match(r"\)\s*\.\s*\*", text[i:]):
+                found.append((start, i, i + star.end()))
+    for start, end, after in reversed(found):
+        text = f"{text[:start]}inline(array({text[start + 1 : end]})){text[after:]}"
+    return text
+
+
 def _literal(arg: str) -> str | float:
     """The value of a literal argument: text, a number, or st_point() of two numbers."""
     if m := re.fullmatch(r"st_point\s*\(([^,]+),([^,]+)\)", arg, re.I):
@@ -245,9 +271,12 @@ def query(spark: SparkSession, text: str) -> DataFrame:
     st_rastersummarystats(band, metadata), st_rastersummarystat(block, band, 'mean', metadata), st_clip(band,
     block, area, metadata), st_intersects(block, area), st_normalizeddifference(a, b, metadata),
     st_normalizeddifferencestats(a, b, metadata); a last argument may name the place of the band in the metadata, from 1.
-    Aggregates: st_regionstats(band, block, area, metadata) and st_mergestats(stats), which become partial
-    sums. st_intersects() with a literal area also becomes ranges of ids, which readers prune by.
+    raster_st_value(), raster_st_summarystats(), raster_st_intersects() and raster_st_clip() take block, band and what
+    else they need, but no metadata. Aggregates: st_regionstats(band, block, area, metadata) and st_mergestats(stats), which become partial
+    sums. st_intersects() with a literal area also becomes ranges of ids, which readers prune by. (struct).* and
+    casts to GEOMETRY are understood.
     """
+    text = _spread_out(text)
     register(spark)
     for name, (function, kind) in RASTER_FUNCTIONS.items():
         spark.udf.register(name, _udf(function, kind))
