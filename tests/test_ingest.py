@@ -237,6 +237,20 @@ def test_source_overviews_are_used(spark, tmp_path):
     assert means == {6: 10.0, 5: 77.0, 4: 77.0}
 
 
+def test_overviews_of_a_raster_that_begins_between_tiles(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    fine = rng.integers(1, 250, (5 * 16, 7 * 16)).astype("u1")  # tiles 3..9 x 5..9 of zoom 6
+    native = spark.createDataFrame([(cells.cell_of(3 + x, 5 + y, 6), pixels.encode(fine[16 * y : 16 * y + 16, 16 * x : 16 * x + 16], "uint8")) for x in range(7) for y in range(5)], "block long, band_1 binary")
+    t = pyramid.pyramid(native, ["band_1"], "uint8", 16, 6, 4, "max", 0)
+    assert export.export_tiff(t, ["band_1"], "uint8", 16, 6, str(tmp_path / "o.tif"), 0, least_zoom=4) == (112, 80)
+    image = rasters.open_image(str(tmp_path / "o.tif"))
+    assert (image.window(0, 80, 0, 112)[0] == fine).all() and [(o.width, o.height) for o in image.overviews] == [(56, 40), (28, 20)]
+    for o, f in zip(image.overviews, (2, 4), strict=True):
+        assert o.origin == image.origin
+        want = fine.reshape(80 // f, f, 112 // f, f).max(axis=(1, 3))
+        assert (o.window(0, o.height, 0, o.width)[0] == want).all()
+
+
 def test_command_line_round_trip(spark, tmp_path, capsys):
     rng = np.random.default_rng(2)
     v = rng.integers(1, 200, (64, 96, 3)).astype("u1")

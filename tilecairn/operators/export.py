@@ -9,7 +9,7 @@ import struct
 import tempfile
 import zlib
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 from xml.sax.saxutils import escape
 
 import numpy as np
@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilecairn.functions.cells import cell_x, cell_y, tile_of
+from tilecairn.functions.cells import cell_x, cell_y
 from tilecairn.functions.mercator import CIRCLE
-from tilecairn.functions.pixels import TYPES, band_of_udf, decode, decode_udf, display
+from tilecairn.functions.pixels import TYPES, band_of_udf, decode, decode_udf, display, nodata_value
 from tilecairn.plans.ranges import in_zoom
 from tilecairn.sources.rasters import COLOURS, info, open_at
 from tilecairn.sources.tables import read_metadata, read_table
@@ -170,22 +170,28 @@ class TiffWriter:
 
 
 def _blocks(batches, bands: list[str], kind: str, size: int, nodata, compression: str | None):
-    """Rows block, data: the bands of a tile together as a block of a TIFF file."""
-    blank = nodata if nodata is not None else 0
+    """Rows z, i, data: blocks of a TIFF file, all bands together, from the pieces of tiles in each."""
+    blank = nodata_value(nodata) if nodata is not None else 0
     for batch in batches:
         out = []
-        for row in zip(*(batch.column(b) for b in bands), strict=True):
-            part = [np.full(size * size, blank, TYPES[kind]) if not b.is_valid else decode(b.as_py(), kind, compression) for b in row]
-            out.append(deflated(np.stack(part, axis=-1).reshape(size, size, len(bands))))
-        yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(out, pa.binary())], ["block", "data"])
+        for pieces in batch.column("pieces"):
+            block = np.full((size, size, len(bands)), blank, TYPES[kind])
+            for p in pieces.as_py():
+                x, y = p["x"], p["y"]
+                for k, b in enumerate(bands):
+                    if p[b] is not None:
+                        part = decode(p[b], kind, compression).reshape(size, size)[max(0, -y) : size - max(0, y), max(0, -x) : size - max(0, x)]
+                        block[max(0, y) : max(0, y) + part.shape[0], max(0, x) : max(0, x) + part.shape[1], k] = part
+            out.append(deflated(block))
+        yield pa.RecordBatch.from_arrays([batch.column("z"), batch.column("i"), pa.array(out, pa.binary())], ["z", "i", "data"])
 
 
 def export_tiff(tiles: DataFrame, bands: list[str], kind: str, size: int, zoom: int, path: str, nodata=None, colours: dict | None = None, least_zoom: int | None = None, interpretations: list[str] | None = None, descriptions: list | None = None, compression: str | None = None, most_pixels: int | None = None) -> tuple[int, int]:
     """Write the tiles of a zoom as one tiled TIFF file, with the overviews down to least_zoom that overview_factors()
     gives; gives width and height.
 
-    A tile is a block of the file: executors decode and deflate, and the driver appends the blocks as they come,
-    a partition at a time, so no raster has to fit it. Files that may pass 2 GB have 64-bit places. A caller may
+    A tile is a block of the file, or of an overview, which begins where the full raster does, in parts of up to four:
+    executors decode and deflate, and the driver appends the blocks as they come, a partition at a time, so no raster has to fit it. Files that may pass 2 GB have 64-bit places. A caller may
     set most_pixels, beyond which this raises.
     """
     x, y = cell_x(F.col("block")), cell_y(F.col("block"))
@@ -195,26 +201,39 @@ def export_tiff(tiles: DataFrame, bands: list[str], kind: str, size: int, zoom:
     w, h = (r[1] - r[0] + 1) * size, (r[3] - r[2] + 1) * size
     if most_pixels is not None and w * h * len(bands) > most_pixels:
         raise ValueError(f"{w} x {h} pixels are more than {most_pixels}")
-    zooms = [zoom] + [zoom - int(math.log2(f)) for f in overview_factors(zoom if least_zoom is None else least_zoom, zoom, w, h, size)]
-    corner = {z: (r[0] >> zoom - z, r[2] >> zoom - z, (r[1] >> zoom - z) - (r[0] >> zoom - z) + 1) for z in zooms}
-    # an overview's blocks are tiles of its zoom, which lie on the grid of the full raster only where that begins at a tile of the overview
-    zooms = [z for z in zooms if z == zoom or (r[0] % (1 << zoom - z), r[2] % (1 << zoom - z)) == (0, 0)] if len(zooms) > 1 else zooms
-    chosen = tiles.where(reduce(lambda a, b: a | b, [in_zoom(F.col("block"), z) for z in zooms])).select("block", *bands)
-    blocks = chosen.mapInArrow(partial(_blocks, bands=bands, kind=kind, size=size, nodata=nodata, compression=compression), "block long, data binary")
+    factors = overview_factors(zoom if least_zoom is None else least_zoom, zoom, w, h, size)
+    zooms = [zoom] + [zoom - int(math.log2(f)) for f in factors if f <= size]
+    start = {z: (r[0] * size >> zoom - z, r[2] * size >> zoom - z) for z in zooms}  # the corner in pixels of each zoom
+    across = {z: -(-(w >> zoom - z) // size) for z in zooms}
+    packed = partial(_blocks, bands=bands, kind=kind, size=size, nodata=nodata, compression=compression)
+    blocks = None
+    for z in zooms:
+        at_x, at_y = x * size - start[z][0], y * size - start[z][1]
+        level = tiles.where(in_zoom(F.col("block"), z)).select(at_x.alias("_x"), at_y.alias("_y"), *bands)
+        column, row = F.floor(F.col("_x") / size), F.floor(F.col("_y") / size)
+        steps = [[0] if v % size == 0 else [0, 1] for v in start[z]]
+        # where the corner is no corner of a tile, a tile is spread over up to four blocks, of which each gets its part
+        parts = F.array(*(F.struct((column + i).alias("c"), (row + j).alias("r")) for j in steps[1] for i in steps[0]))
+        placed = level.select("*", F.explode(parts).alias("_p")).where((F.col("_p.c") >= 0) & (F.col("_p.r") >= 0) & (F.col("_p.c") < across[z]))
+        piece = F.struct((F.col("_x") - F.col("_p.c") * size).cast("int").alias("x"), (F.col("_y") - F.col("_p.r") * size).cast("int").alias("y"), *bands)
+        if max(map(len, steps)) == 1:
+            gathered = placed.select("_p.c", "_p.r", F.array(piece).alias("pieces"))
+        else:
+            gathered = placed.groupBy(F.col("_p.c").alias("c"), F.col("_p.r").alias("r")).agg(F.collect_list(piece).alias("pieces"))
+        out = gathered.select(F.lit(z).alias("z"), (F.col("r") * across[z] + F.col("c")).cast("long").alias("i"), "pieces").mapInArrow(packed, "z int, i long, data binary")
+        blocks = out if blocks is None else blocks.unionByName(out)
     found: dict[int, dict[int, tuple[int, int]]] = {z: {} for z in zooms}
     system, where = open_at(path)
     big = w * h * len(bands) * np.dtype(kind).itemsize > 1 << 31
     with tempfile.TemporaryFile() as f:  # directories refer back, so the file is put together here and copied
         writer = TiffWriter(f, len(bands), kind, size, nodata, colours, interpretations, big, descriptions)
         for row in blocks.toLocalIterator():
-            tx, ty, z = tile_of(row["block"])
-            x0, y0, across = corner[z]
-            found[z][(ty - y0) * across + tx - x0] = writer.put(row["data"])
+            found[row["z"]][row["i"]] = writer.put(row["data"])
         unit = CIRCLE / (1 << zoom)
         left, top = r[0] * unit - CIRCLE / 2, CIRCLE / 2 - r[2] * unit
         for z in zooms:
             scale = 1 << zoom - z
-            writer.level(-(-w // scale), -(-h // scale), found[z], left, top, unit / size * scale)
+            writer.level(w // scale, h // scale, found[z], left, top, unit / size * scale)
         writer.finish()
         f.seek(0)
         with system.open_output_stream(where) as out:

@@ -179,8 +179,9 @@ def _directories(read) -> tuple[str, list[dict]]:
     count, each, word = ("Q", 20, "Q") if big else ("H", 12, "I")
     inline, size = (8, 8) if big else (4, 2)
     at = struct.unpack_from(order + word, head, 8 if big else 4)[0]
-    out = []
-    while at and len(out) < 64:
+    out, seen = [], set()
+    while at and at not in seen:
+        seen.add(at)
         n = struct.unpack(order + count, read(at, size))[0]
         body = read(at + size, n * each + inline)
         tags: dict = {}
