@@ -45,10 +45,11 @@ STAYS, MAY_GO, COMMENTS, GOES_CLOSED, GOES = range(5)
 
 
 class Node:
-    __slots__ = ("byline", "chars", "children", "density", "fate", "kind", "link_chars", "link_tags", "parent", "tag", "tags")
+    __slots__ = ("byline", "chars", "children", "density", "fate", "kind", "link_chars", "link_tags", "own", "parent", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None, fate: int = STAYS, kind: str = "", byline: bool = False):
         self.tag, self.parent, self.children, self.fate, self.kind, self.byline = tag, parent, [], fate, kind, byline
+        self.own = -1  # characters of its own texts, once they have been counted
 
 
 class Open:
@@ -60,7 +61,12 @@ class Open:
 
     def last(self, *tags: str) -> int:
         """The place of the innermost open element with one of these tags; 0 without any."""
-        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+        best = 0
+        for t in tags:
+            p = self.places.get(t)
+            if p and p[-1] > best:
+                best = p[-1]
+        return best
 
     def first_beyond(self, tags: set[str], place: int) -> int:
         """The place of the outermost one beyond a place; 0 without any."""
@@ -268,11 +274,11 @@ def measure(root: Node) -> list[Node]:
     are links. Returns the elements, those outside first."""
     nodes = _ordered(root)
     for node in reversed(nodes):
-        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        if node.own < 0:
+            node.own = sum(len(RUN.sub(" ", c).strip(SPACES)) for c in node.children if isinstance(c, str))
+        node.chars, node.tags, node.link_chars, node.link_tags = node.own, 0, 0, 0
         for c in node.children:
-            if isinstance(c, str):
-                node.chars += len(RUN.sub(" ", c).strip(SPACES))
-            else:
+            if isinstance(c, Node):
                 node.chars += c.chars
                 node.tags += c.tags + 1
                 node.link_chars += c.chars if c.tag == "a" else c.link_chars
